@@ -56,3 +56,16 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
 
 def fold_of(doc_id: int | None, folds: int = 5) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds if doc_id is not None else 0
+
+
+_built: dict[int, tuple] = {}
+
+
+def built(sent, make):
+    """What make() builds from a broadcast value, once in each Python worker; the last one is kept."""
+    value = sent.value
+    got = _built.get(id(value))
+    if got is None or got[0] is not value:
+        _built.clear()
+        got = _built[id(value)] = (value, make(value))
+    return got[1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, mixing, quality, secrets, simhash
+from folio.llm import bpe, langid, mixing, quality, secrets, simhash, toxicity
 from folio.llm.common import table
 
 
@@ -27,6 +27,14 @@ def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken")[0])
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -35,5 +43,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_quality_cascade, op5_secret_scan, op8_source_mix, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_quality_cascade, op5_secret_scan, op6_toxicity, op7_language_id, op8_source_mix, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op3_quality_cascade": quality.SCORE_SQL}
