@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, langid, mixing, quality, secrets, simhash, toxicity
+from folio.llm import bpe, htmltext, langid, mixing, neighbours, quality, secrets, simhash, toxicity
 from folio.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken")[0])
 
@@ -39,9 +43,13 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_quality_cascade, op5_secret_scan, op6_toxicity, op7_language_id, op8_source_mix, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_quality_cascade, op4_embedding_near_dedup, op5_secret_scan, op6_toxicity, op7_language_id, op8_source_mix, op9_html_main_text, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op3_quality_cascade": quality.SCORE_SQL}
