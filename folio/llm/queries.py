@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folio.llm import bpe, htmltext, langid, mixing, neighbours, quality, secrets, simhash, toxicity
+from folio.llm import bpe, htmltext, langid, mixing, neighbours, quality, secrets, simhash, tokencount, toxicity
 from folio.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), *vocabulary())
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokencount.counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")[0])
+
+
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"))
 
@@ -51,5 +55,5 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op3_quality_cascade, op4_embedding_near_dedup, op5_secret_scan, op6_toxicity, op7_language_id, op8_source_mix, op9_html_main_text, op10_simhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op3_quality_cascade, op4_embedding_near_dedup, op5_secret_scan, op6_toxicity, op7_language_id, op8_source_mix, op9_html_main_text, op10_simhash_near_dedup)}
 ORACLES: dict[str, str] = {"op3_quality_cascade": quality.SCORE_SQL}
