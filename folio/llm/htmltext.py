@@ -58,7 +58,7 @@ GROUP_OF = {w: 1 << g for g, words in enumerate(GROUPS) for w in words.split()}
 #: Landmark tags count like tokens, after the groups.
 LANDMARKS = {t: 1 << (len(GROUPS) + i) for i, t in enumerate(("article", "main", "nav", "header", "footer", "aside", "form", "table", "ul", "ol"))}
 N_BITS = len(GROUPS) + len(LANDMARKS)
-CONTENT_MARK, OTHER_MARK = "\ue000", "\ue001"
+CONTENT_MARK, OTHER_MARK = chr(0xE000), chr(0xE001)
 
 
 @dataclass
