@@ -41,6 +41,11 @@ def semantic(vectors: DataFrame, query: list[float], candidates: int = 200, min_
     return found if min_similarity is None else found.where(F.col("score") >= min_similarity)
 
 
+def _stored(x: np.ndarray, norm: np.ndarray) -> np.ndarray:
+    """Unit vectors as the index stores them: rounded to float."""
+    return (x / np.where(norm > 0, norm, 1)).astype(np.float32).astype(np.float64)
+
+
 def batch_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096) -> DataFrame:
     """(query_pk, chunk_pk, score): the k best of every query. The queries, a stated set, go out in blocks of `block`;
     each task keeps k a query of what it reads, and a grouped merge ranks these few."""
@@ -53,7 +58,7 @@ def batch_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096)
         ids = np.array([r[0] for r in rows], np.int64)
         matrix = np.array([r[1] for r in rows], np.float64)
         norms = np.linalg.norm(matrix, axis=1, keepdims=True)
-        sent = spark.sparkContext.broadcast((ids, matrix / np.where(norms > 0, norms, 1)))
+        sent = spark.sparkContext.broadcast((ids, _stored(matrix, norms)))
 
         def run(batches):
             ids, q = sent.value
@@ -64,7 +69,7 @@ def batch_top(vectors: DataFrame, queries: DataFrame, k: int, block: int = 4096)
                     continue
                 x = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
                 norm = np.linalg.norm(x, axis=1, keepdims=True)
-                score = q @ (x / np.where(norm > 0, norm, 1)).T
+                score = q @ _stored(x, norm).T
                 best = np.hstack([best, score])
                 best_id = np.hstack([best_id, np.broadcast_to(b.column(0).to_numpy(), score.shape)])
                 order = np.lexsort((best_id, -best), axis=1)[:, :k]
