@@ -35,7 +35,7 @@ from folio.llm.components import components
 
 SAMPLE_ROWS, MAX_LISTS, LIST_ROWS = 32_768, 4_096, 64
 SUBSPACES, WORDS = 8, 256
-PROBE_RECALL = 0.999
+PROBE_RECALL = 0.99
 ENTRY_BLOCK, QUERY_BLOCK = 2_048, 4_096
 
 
@@ -115,9 +115,11 @@ class Index:
         rest = _parts(x - self.centres[at])
         total = np.zeros((len(x), len(codes)), np.float32)
         for s, w in enumerate(self.code_words):
-            table = ((rest[:, s, None, :] - w[None]) ** 2).sum(2).astype(np.float32)
-            total += table[:, codes[:, s]]
-        return np.nonzero(np.sqrt(total) <= (self.reach + error + 1e-4).astype(np.float32))
+            used, at_word = np.unique(codes[:, s], return_inverse=True)
+            w, part = w[used], rest[:, s]
+            table = (part**2).sum(1)[:, None] - 2 * part @ w.T + (w**2).sum(1)
+            total += np.take(table.astype(np.float32), at_word, axis=1)
+        return np.nonzero(total <= ((self.reach + error + 1e-4) ** 2 + 1e-4).astype(np.float32))
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -162,7 +164,7 @@ def _indexed(nodes: DataFrame, indexes) -> DataFrame:
                         ["node", "copies", "vec", "list", "codes", "error", "probes"],
                     )
 
-    return nodes.mapInArrow(run, "node long, copies long, vec array<double>, list long, codes binary, error double, probes array<long>")
+    return nodes.mapInArrow(run, f"node long, copies long, vec {nodes.schema['vec'].dataType.simpleString()}, list long, codes binary, error double, probes array<long>")
 
 
 def _meet(indexes, threshold: float):
@@ -189,13 +191,11 @@ def _meet(indexes, threshold: float):
         x_scaled = x / np.abs(x).max(1, keepdims=True)
         y_norm, x_norm = np.linalg.norm(y_scaled, axis=1), np.linalg.norm(x_scaled, axis=1)
         x_links, y_links = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-        up = list(range(len(x) + len(y)))
-
-        def root(i: int) -> int:
-            while up[i] != i:
-                up[i] = up[up[i]]
-                i = up[i]
-            return i
+        # a label for each vector, the same for those linked so far
+        y_at = {int(k): len(x) + i for i, k in enumerate(y_id)}
+        spot = np.arange(len(x) + len(y))
+        spot[: len(x)] = [y_at.get(int(k), i) for i, k in enumerate(x_id)]  # a member that probes its own list is one vector
+        label = spot.copy()
 
         forest = []
         step = max(1, 500_000 // len(y))
@@ -213,11 +213,16 @@ def _meet(indexes, threshold: float):
                 p, q = p[cosine >= threshold], q[cosine >= threshold]
                 np.add.at(x_links, p, y_n[q])
                 np.add.at(y_links, q, x_n[p])
-                for u, v in zip(p.tolist(), q.tolist(), strict=True):
-                    ru, rv = root(u), root(len(x) + v)
-                    if ru != rv:
-                        up[max(ru, rv)] = min(ru, rv)
-                        forest.append((int(x_id[u]), int(y_id[v])))
+                if not len(p):
+                    continue
+                first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))  # candidates come row by row
+                for u, near in zip(p[first], np.split(q, first[1:]), strict=True):
+                    mine = label[spot[u]]
+                    found, at_near = np.unique(label[len(x) + near], return_index=True)
+                    new = found != mine
+                    if new.any():
+                        forest += [(int(x_id[u]), int(y_id[near[k]])) for k in at_near[new]]
+                        label[np.isin(label, found)] = mine
         fx, fy = np.flatnonzero(x_links), np.flatnonzero(y_links)
         a = np.concatenate([x_id[fx], y_id[fy], np.array([e[0] for e in forest], np.int64)])
         b = pa.array([None] * (len(fx) + len(fy)) + [e[1] for e in forest], pa.int64())
@@ -254,7 +259,8 @@ def links(nodes: DataFrame, threshold: float) -> DataFrame:
 
 def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """Per row: the id, n_links, component_id and kept."""
-    vec = F.transform(vectors[vec_col], lambda x: x.cast("double") + F.lit(0.0))  # + 0.0: no negative zero
+    kind = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    vec = F.transform(vectors[vec_col], lambda x: x.cast(kind) + F.lit(0.0).cast(kind))  # + 0.0: no negative zero
     rows = vectors.select(vectors[id_col].alias("id"), vec.alias("vec")).withColumn("ok", F.coalesce(F.expr(_valid("vec")), F.lit(False)))
     good = rows.where("ok").groupBy("vec").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
     # a node's number is that of its smallest id; without one, a negative hash of the vector
