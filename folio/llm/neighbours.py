@@ -73,8 +73,7 @@ class Index:
 
     def __init__(self, centres: np.ndarray, code_words: list[np.ndarray], reach: float, margin: float):
         self.centres, self.code_words, self.reach, self.margin = centres, code_words, reach, margin
-        square = (centres**2).sum(1)
-        self.gaps = np.sqrt(np.maximum(square[:, None] + square - 2 * centres @ centres.T, 1e-12))
+        self.square = (centres**2).sum(1)
 
     @classmethod
     def fit(cls, x: np.ndarray, rows: int, threshold: float) -> Index:
@@ -98,9 +97,10 @@ class Index:
 
     def borders(self, x: np.ndarray) -> np.ndarray:
         """Each vector's distance to the border between its own list and every list."""
-        d = (self.centres**2).sum(1) - 2 * x @ self.centres.T
+        d = self.square - 2 * x @ self.centres.T
         own = np.argmin(d, 1)
-        return (d - d[np.arange(len(x)), own][:, None]) / (2 * self.gaps[own])
+        gaps = np.sqrt(np.maximum(self.square[own][:, None] + self.square - 2 * self.centres[own] @ self.centres.T, 1e-12))
+        return (d - d[np.arange(len(x)), own][:, None]) / (2 * gaps)
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """List, codes and coding error of each vector."""
