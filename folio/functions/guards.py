@@ -39,6 +39,10 @@ def library_key_ok(key: Column) -> Column:
     return F.coalesce(key.rlike(LIBRARY_KEY), F.lit(False))
 
 
+def is_library_key(key: str) -> bool:
+    return re.fullmatch(LIBRARY_KEY.strip("^$"), key) is not None
+
+
 def user_hash(name: Column) -> Column:
     return F.sha2(F.lower(name), 256)
 
@@ -115,7 +119,7 @@ def search_options(params: dict[str, str]) -> tuple[str, SearchOptions]:
             if key:
                 got[key] = value
     if key := params.get("libraryKey"):
-        if not re.match(LIBRARY_KEY, key):
+        if not is_library_key(key):
             raise RequestError(400, 'libraryKey must be "user" or "group:<id>"')
         got["library_key"] = key
     if "minSimilarity" in params:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,12 @@ LEADING_NUMBER = r"(?i)^\s*(?:(?:kapitel|kap\.?|chapter|chap\.?|ch\.?|teil|part|
 SPACE = r"[\s\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]"
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with the value worked out once a row: a lambda's variable is bound, where an expression that stands in
+    several places, or inside a lambda, may be evaluated again for each."""
+    return F.transform(F.array(value), lambda x: use(x))[0]
+
+
 def stripped(text: Column) -> Column:
     """Without white space at either end; trim() would take off spaces only."""
     return F.regexp_replace(text, rf"^{SPACE}+|{SPACE}+$", "")
@@ -71,14 +79,21 @@ def lines(text: Column) -> Column:
     return F.filter(F.transform(F.split(text, "\n"), stripped), lambda x: x != "")
 
 
+def ends_in_number(line: Column) -> Column:
+    """Three letters somewhere, a number at the end. The end is looked at first: the whole pattern goes back and forth in
+    every line that has letters."""
+    return line.rlike(r"\s\d{1,4}$") & line.rlike(NUMBERED_LINE)
+
+
 def numbered_lines(text: Column) -> Column:
-    return F.size(F.filter(lines(text), lambda x: x.rlike(NUMBERED_LINE)))
+    return F.size(F.filter(lines(text), lambda x: ends_in_number(x)))
 
 
 def is_toc_page(text: Column) -> Column:
     """Five dot leaders; or six lines of which three fifths end in a number; or a contents heading with a few of either."""
-    n, numbered, dots = F.size(lines(text)), numbered_lines(text), leaders(text)
-    return (dots >= 5) | ((n >= 6) & (numbered / n >= 0.6)) | (text.rlike(TOC_HEADING) & ((dots >= 2) | (numbered >= 4)))
+    signs = F.struct(leaders(text).alias("dots"), F.transform(lines(text), lambda x: ends_in_number(x)).alias("lines"), text.rlike(TOC_HEADING).alias("headed"))
+    counted = let(signs, lambda s: F.struct(s["dots"].alias("dots"), F.size(s["lines"]).alias("n"), F.size(F.filter(s["lines"], lambda x: x)).alias("numbered"), s["headed"].alias("headed")))
+    return let(counted, lambda c: (c["dots"] >= 5) | ((c["n"] >= 6) & (c["numbered"] / c["n"] >= 0.6)) | (c["headed"] & ((c["dots"] >= 2) | (c["numbered"] >= 4))))
 
 
 def parse_pages(value: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from folio.functions.text import let
+
 
 def _sum(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda s, x: s + x)
@@ -17,19 +19,26 @@ def dot(a: Column, b: Column) -> Column:
 
 def normalize(v: Column) -> Column:
     """Length 1 as float; a zero vector stays as it is."""
-    norm = F.sqrt(dot(v, v))
-    return F.transform(v, lambda x: (x.cast("double") / F.when(norm > 0, norm).otherwise(1.0)).cast("float"))
+    bound = F.struct(v.alias("v"), F.sqrt(dot(v, v)).alias("n"))
+    return let(bound, lambda b: F.transform(b["v"], lambda x: (x.cast("double") / F.when(b["n"] > 0, b["n"]).otherwise(1.0)).cast("float")))
 
 
 def scale(v: Column) -> Column:
     """Largest magnitude over 127; 1 for a zero vector."""
     most = F.aggregate(v, F.lit(0.0), lambda s, x: F.greatest(s, F.abs(x.cast("double"))))
-    return F.when(most > 0, most / 127).otherwise(1.0)
+    return let(most, lambda m: F.when(m > 0, m / 127).otherwise(1.0))
 
 
 def quantize(v: Column, by: Column) -> Column:
     """Halves round up, as floor(x + 0.5) does and round() does not."""
-    return F.transform(v, lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x.cast("double") / by + 0.5))).cast("tinyint"))
+    bound = F.struct(v.alias("v"), by.alias("s"))
+    return let(bound, lambda b: F.transform(b["v"], lambda x: F.greatest(F.lit(-127), F.least(F.lit(127), F.floor(x.cast("double") / b["s"] + 0.5))).cast("tinyint")))
+
+
+def coded(v: Column) -> Column:
+    """A struct of the unit vector, its scale and its small integers, each worked out once."""
+    with_scale = let(normalize(v), lambda u: F.struct(u.alias("u"), scale(u).alias("s")))
+    return let(with_scale, lambda b: F.struct(b["u"].alias("embedding"), b["s"].alias("scale"), quantize(b["u"], b["s"]).alias("q")))
 
 
 def dot_int8(query: Column, q: Column, by: Column) -> Column:

@@ -12,8 +12,8 @@ from folio.functions import vectors as vx
 
 def quantized(vectors: DataFrame, vector: str = "embedding") -> DataFrame:
     """Adds q and scale, of the normalised vector."""
-    unit = vectors.withColumn(vector, vx.normalize(F.col(vector)))
-    return unit.withColumn("scale", vx.scale(F.col(vector))).withColumn("q", vx.quantize(F.col(vector), F.col("scale")))
+    rest = [c for c in vectors.columns if c not in (vector, "scale", "q")]
+    return vectors.withColumn("_coded", vx.coded(F.col(vector))).select(*rest, F.col("_coded.embedding").alias(vector), "_coded.scale", "_coded.q")
 
 
 def literal(query: list[float]) -> Column:

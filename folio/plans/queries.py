@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from folio.functions import guards
 from folio.functions import text as tx
 from folio.functions import vectors as vx
 from folio.functions.guards import SearchOptions
-from folio.operators import catalog, clean, index, prepare, ranking, scan, spans
+from folio.operators import catalog, chapters, clean, index, outline, prepare, ranking, scan, spans
 from folio.plans import search as plan
 from folio.sources import tables
 from folio.sources.scratch import written
@@ -669,6 +670,41 @@ def clean_pages(spark, sf_dir):
     return clean.clean_pages(tables.line_pages(spark, sf_dir)).select("doc_pk", "page", "route", "stripped")
 
 
+def _per_row(spark, sf_dir, run, schema):
+    """One kernel over whole documents, batch by batch."""
+    return tables.table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, schema)
+
+
+@query()
+def toc_entries(spark, sf_dir):
+    def run(frames):
+        for pdf in frames:
+            rows = [(i, k, *e) for i, t in zip(pdf.doc_id, pdf.text, strict=True) for k, e in enumerate(clean.toc_entries((t or "").replace(". ", f" ..... {i % 999}\n")))]
+            yield pd.DataFrame(rows, columns=["doc_id", "nth", "title", "label"])
+
+    return _per_row(spark, sf_dir, run, "doc_id long, nth int, title string, label string")
+
+
+@query()
+def detect_headings(spark, sf_dir):
+    def run(frames):
+        for pdf in frames:
+            found = [outline.detect_heading((f"Chapter {i % 90}: " if i % 2 else "") + (t or "")) for i, t in zip(pdf.doc_id, pdf.text, strict=True)]
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "heading": found})
+
+    return _per_row(spark, sf_dir, run, "doc_id long, heading string")
+
+
+@query()
+def find_headings(spark, sf_dir):
+    def run(frames):
+        for pdf in frames:
+            found = [chapters.find_heading(t or "", " ".join((t or "").split()[40:44]), 0.5) for t in pdf.text]
+            yield pd.DataFrame({"doc_id": pdf.doc_id, "char": pd.array(found, "Int64")})
+
+    return _per_row(spark, sf_dir, run, "doc_id long, char long")
+
+
 # ---- windows and duplicates
 
 

@@ -111,3 +111,29 @@ def test_change_stream(spark, tmp_path):
     assert sorted(seen) == sorted(map(tuple, changes.affected(events).collect())) == [(7, False), (9, True)]
     steps = iter([3, 1, 0])
     assert changes.passes(lambda: next(steps)) == 3
+
+
+def test_answers(spark):
+    from folio.plans import api
+
+    docs = spark.createDataFrame([(1, "user", "k1", "A1", "ready", "local:hashed-words"), (2, "user", "k1", "A2", "ready", "local:hashed-words"), (3, "user", "k2", "A3", "queued", None)], "doc_pk long, library_key string, item_key string, attachment_key string, status string, model_id string")
+    labels = spark.createDataFrame([(1, 1, "i"), (1, 2, "II"), (2, 1, "ii")], "doc_pk long, page int, label string")
+    pages = spark.createDataFrame([(1, 1, "one"), (1, 2, "two"), (2, 1, "three")], "doc_pk long, page int, text string")
+    chunks = spark.createDataFrame([(1, 1, 0, 1, 2, "", "solar energy", 2, [1.0, 0.0])], "chunk_pk long, doc_pk long, idx int, page_start int, page_end int, chapter string, text string, nterms int, embedding array<float>")
+    terms = spark.createDataFrame([("solar", 1, 1), ("energy", 1, 1)], "term string, chunk_pk long, tf int")
+    t = {"documents": docs, "page_labels": labels, "pages": pages, "chunks": chunks, "terms": terms}
+    c = EngineConfig()
+    status, got = api.stats(t, c, {"index_config": "old"})
+    assert (status, got["indexed_books"], got["indexed_documents"], got["queued_documents"], got["dims"], got["needs_rebuild"]) == (200, 1, 2, 1, 2, True)
+    assert api.books(t, {})[1]["books"][1] == {"item_key": "k2", "ready_documents": 0, "queued_documents": 1, "failed_documents": 0, "total_documents": 1, "searchable": False}
+    assert api.books(t, {"libraryKey": "x"})[0] == 400
+    assert [p["text"] for p in api.pages(t, {"attachmentKey": "A1", "pages": "1-2"})[1]["pages"]] == ["one", "two"]
+    assert api.pages(t, {"itemKey": "k1", "pageLabel": "I"})[1]["pages"] == [{"page": 1, "label": "i", "text": "one"}]
+    status, got = api.pages(t, {"itemKey": "k1", "pageLabel": "ii"})
+    assert status == 409 and got["candidates"] == [{"attachment_key": "A1", "page": 2}, {"attachment_key": "A2", "page": 1}]
+    for params, want in (({"attachmentKey": "A3", "pages": "1"}, 404), ({"attachmentKey": "A1", "pages": "9"}, 404), ({"itemKey": "k1"}, 400), ({"itemKey": "k9", "pageLabel": "i"}, 404), ({"itemKey": "k1", "pageLabel": "x"}, 404)):
+        assert api.pages(t, params)[0] == want
+    status, got = api.find(t, {"q": "solar", "mode": "keyword"}, c)
+    assert status == 200 and got["results"][0]["matched_chunk"]["snippet"] == "solar energy"
+    assert api.find(t, {"q": "solar"}, c)[0] == 503 and api.find(t, {}, c)[0] == 400
+    assert api.find(t, {"q": "solar"}, c, lambda q: [1.0, 0.0])[1]["results"][0]["source"] == "both"
