@@ -77,13 +77,13 @@ def page_range(value: str | None) -> tuple[int, int]:
     """ "45" or "10-12"; at most MAX_PAGES pages."""
     m = re.match(PAGE_RANGE, (value or "").strip())
     if not m:
-        raise RequestError(400, 'pages must be "N" or "N-M"')
+        raise RequestError(400, "pages is N or N-M")
     first = int(m[1])
     last = int(m[2]) if m[2] else first
     if first < 1 or last < first:
-        raise RequestError(400, "pages must be 1-based and ascending")
+        raise RequestError(400, "pages count from 1 and ascend")
     if last - first + 1 > MAX_PAGES:
-        raise RequestError(400, f"at most {MAX_PAGES} pages per request")
+        raise RequestError(400, f"no more than {MAX_PAGES} pages at once")
     return first, last
 
 
@@ -102,7 +102,7 @@ def search_options(params: dict[str, str]) -> tuple[str, SearchOptions]:
     """The query and the checked options of a request."""
     q = (params.get("q") or "").strip()
     if not q:
-        raise RequestError(400, "Missing required query parameter: q")
+        raise RequestError(400, "q is missing")
     got: dict = {}
     if "topK" in params:
         try:
@@ -110,7 +110,7 @@ def search_options(params: dict[str, str]) -> tuple[str, SearchOptions]:
         except ValueError:
             k = math.nan
         if k != k or k != int(k if math.isfinite(k) else 0) or not 1 <= k <= 100:
-            raise RequestError(400, "topK must be an integer 1-100")
+            raise RequestError(400, "topK is a whole number from 1 to 100")
         got["top_k"] = int(k)
     for name, key, choices in (("mode", "mode", MODES), ("granularity", None, ("passages",)), ("expand", "expand", ("none", "page"))):
         if value := params.get(name):
@@ -120,7 +120,7 @@ def search_options(params: dict[str, str]) -> tuple[str, SearchOptions]:
                 got[key] = value
     if key := params.get("libraryKey"):
         if not is_library_key(key):
-            raise RequestError(400, 'libraryKey must be "user" or "group:<id>"')
+            raise RequestError(400, "libraryKey is user or group:NUMBER")
         got["library_key"] = key
     if "minSimilarity" in params:
         try:
@@ -128,7 +128,7 @@ def search_options(params: dict[str, str]) -> tuple[str, SearchOptions]:
         except ValueError:
             value = math.nan
         if not math.isfinite(value):
-            raise RequestError(400, "minSimilarity must be a number")
+            raise RequestError(400, "minSimilarity is no number")
         got["min_similarity"] = value
     for name, key in (("itemKeys", "item_keys"), ("attachmentKeys", "attachment_keys")):
         if parts := list_of(params.get(name)):

@@ -39,7 +39,7 @@ def books(tables: dict[str, DataFrame], params: dict[str, str]) -> Answer:
     def run() -> dict:
         key = params.get("libraryKey") or "user"
         if not guards.is_library_key(key):
-            raise RequestError(400, 'libraryKey must be "user" or "group:<id>"')
+            raise RequestError(400, "libraryKey is user or group:NUMBER")
         found = catalog.books_payload(tables["documents"], key, guards.list_of(params.get("itemKeys")))
         return {"library_key": key, "api_version": API_VERSION, "books": [r.asDict() for r in found.orderBy("item_key").collect()]}
 
@@ -52,33 +52,33 @@ def pages(tables: dict[str, DataFrame], params: dict[str, str]) -> Answer:
     def run() -> dict:
         key = params.get("libraryKey") or "user"
         if not guards.is_library_key(key):
-            raise RequestError(400, 'libraryKey must be "user" or "group:<id>"')
+            raise RequestError(400, "libraryKey is user or group:NUMBER")
         docs = tables["documents"].where(F.col("library_key") == key)
         if file := params.get("attachmentKey"):
             doc = docs.where((F.col("attachment_key") == file) & (F.col("status") == "ready")).first()
             if doc is None:
-                raise RequestError(404, "attachment not indexed")
+                raise RequestError(404, "this file is not indexed")
             first, last = guards.page_range(params.get("pages"))
         else:
             item, label = params.get("itemKey"), (params.get("pageLabel") or "").strip()
             if not item or not label:
-                raise RequestError(400, "attachmentKey + pages, or itemKey + pageLabel required")
+                raise RequestError(400, "give attachmentKey and pages, or itemKey and pageLabel")
             mine = docs.where(F.col("item_key") == item)
             if mine.first() is None:
-                raise RequestError(404, "book not indexed")
+                raise RequestError(404, "this book is not indexed")
             hits = catalog.with_label(tables["page_labels"], mine, label).orderBy("doc_pk", "page").limit(100).collect()
             if not hits:
-                raise RequestError(404, f"no PDF of this book has page label {label}")
+                raise RequestError(404, f"no page of this book is labelled {label}")
             keys = {r.doc_pk: r.attachment_key for r in mine.where(F.col("doc_pk").isin([h.doc_pk for h in hits])).collect()}
             if len(hits) > 1:
-                raise RequestError(409, "page label is ambiguous", candidates=[{"attachment_key": keys[h.doc_pk], "page": h.page} for h in hits])
+                raise RequestError(409, "several pages have this label", candidates=[{"attachment_key": keys[h.doc_pk], "page": h.page} for h in hits])
             doc = mine.where(F.col("doc_pk") == hits[0].doc_pk).first()
             first = last = hits[0].page
         found = catalog.pages_between(tables["pages"], doc.doc_pk, first, last)
         labels = tables["page_labels"].where(F.col("doc_pk") == doc.doc_pk).select("page", "label")
         rows = found.join(labels, "page", "left").orderBy("page").select("page", "label", "text").collect()
         if not rows:
-            raise RequestError(404, "pages out of range")
+            raise RequestError(404, "there are no such pages")
         return {"attachment_key": doc.attachment_key, "pages": [r.asDict() for r in rows]}
 
     return answered(run)
