@@ -2,46 +2,17 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 import zlib
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-WHITE = " \t\n\v\f\r"
+from folio.sources.scratch import shared_dir, written
+from folio.sources.tables import table
 
+__all__ = ["WHITE", "built", "fold", "fold_of", "shared_dir", "table", "words_of", "written"]
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a local one only where none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named
-    kept = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if not kept.isEmpty():
-        return kept.get()
-    made = tempfile.mkdtemp(prefix="folio-")
-    atexit.register(shutil.rmtree, made, ignore_errors=True)
-    spark.sparkContext.setCheckpointDir(made)
-    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read again: lineage ends there, so a lost
-    executor costs a re-read and not a recomputation. Spark deletes the table when the driver ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/folio-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    target = jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(target)
-    return spark.read.schema(df.schema).parquet(path)
+WHITE = " \t\n\v\f\r"
 
 
 def words_of(text: str | None) -> list[bytes]:
