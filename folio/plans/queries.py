@@ -526,19 +526,20 @@ def pages_range(spark, sf_dir):
     return catalog.pages_between(tables.conversation_pages(spark, sf_dir), 3, *guards.page_range("1-3"))
 
 
-LABELS_SQL = "lab AS (SELECT doc_id AS doc_pk, 1 AS page, CASE WHEN doc_id % 2 = 0 THEN 'IX' ELSE 'ix' END AS label FROM documents WHERE doc_id % 3 = 0)"
+LABELS_SQL = "lab AS (SELECT doc_id AS doc_pk, 1 AS page, CASE doc_id % 3 WHEN 0 THEN 'IX' WHEN 1 THEN 'ix' ELSE 'x' END AS label FROM documents)"
 
 
 def _labels(spark, sf_dir):
-    return tables.table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select(F.col("doc_id").alias("doc_pk"), F.lit(1).alias("page"), F.when(F.col("doc_id") % 2 == 0, "IX").otherwise("ix").alias("label"))
+    label = F.when(F.col("doc_id") % 3 == 0, "IX").when(F.col("doc_id") % 3 == 1, "ix").otherwise("x")
+    return tables.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc_pk"), F.lit(1).alias("page"), label.alias("label"))
 
 
-@query(with_("docs") + f", {LABELS_SQL} SELECT library_key, item_key, doc_pk, page FROM lab JOIN docs USING (doc_pk) WHERE status = 'ready'")
+@query(with_("docs") + f", {LABELS_SQL} SELECT library_key, item_key, doc_pk, page FROM lab JOIN docs USING (doc_pk) WHERE lower(label) = 'ix' AND status = 'ready'")
 def page_label_lookup(spark, sf_dir):
     return catalog.with_label(_labels(spark, sf_dir), tables.documents(spark, sf_dir), "Ix")
 
 
-@query(with_("docs") + f", {LABELS_SQL} SELECT library_key, item_key, count(*) AS candidates FROM lab JOIN docs USING (doc_pk) WHERE status = 'ready' GROUP BY 1, 2 HAVING count(*) > 1")
+@query(with_("docs") + f", {LABELS_SQL} SELECT library_key, item_key, count(*) AS candidates FROM lab JOIN docs USING (doc_pk) WHERE lower(label) = 'ix' AND status = 'ready' GROUP BY 1, 2 HAVING count(*) > 1")
 def label_ambiguity(spark, sf_dir):
     hits = catalog.with_label(_labels(spark, sf_dir), tables.documents(spark, sf_dir), "IX")
     return hits.groupBy(*catalog.BOOK).agg(F.count("*").alias("candidates")).where("candidates > 1")
@@ -607,9 +608,9 @@ def monotone_offsets(spark, sf_dir):
     return spans.monotone(tables.line_pages(spark, sf_dir).select("doc_pk", F.col("page").alias("nth"), F.length("text").cast("long").alias("char_start")))
 
 
-@query(with_("lines") + ", h AS (SELECT doc_pk, page, CASE WHEN page % 3 = 1 THEN 'Chapter ' || page ELSE page || '.' || page END AS title FROM lines WHERE page < 90) SELECT doc_pk, page, page % 3 <> 1 AS sub, CASE WHEN page % 3 <> 1 THEN 'Chapter ' || (page - (page - 1) % 3) END AS parent FROM h")
+@query(with_("lines") + ", h AS (SELECT doc_pk, page, page % 3 <> 1 AS sub FROM lines) SELECT doc_pk, page, sub, CASE WHEN sub THEN 'Chapter ' || (page - (page - 1) % 3) END AS parent FROM h")
 def sections_to_chapters(spark, sf_dir):
-    h = tables.line_pages(spark, sf_dir).where("page < 90").select("doc_pk", "page", F.when(F.col("page") % 3 == 1, F.concat(F.lit("Chapter "), "page")).otherwise(F.concat("page", F.lit("."), "page")).alias("title"))
+    h = tables.line_pages(spark, sf_dir).select("doc_pk", "page", F.when(F.col("page") % 3 == 1, F.concat(F.lit("Chapter "), "page")).otherwise(F.concat(F.col("page") % 90, F.lit("."), "page")).alias("title"))
     return spans.last_main(h).select("doc_pk", "page", "sub", "parent")
 
 
@@ -658,11 +659,11 @@ def toc_pages(spark, sf_dir):
     return d.select("doc_id", tx.is_toc_page(F.col("text")).alias("toc"))
 
 
-@query(with_("lines") + r"SELECT doc_pk, page, CASE WHEN len(regexp_extract_all(text, '\S+')) < 8 THEN 'empty' ELSE 'kept' END AS route FROM lines WHERE NOT regexp_matches(text, '\.\s?\.\s?\.\s?\.|…')")
+@query(with_("lines") + rf", t AS (SELECT *, count(*) OVER (PARTITION BY doc_pk) AS n, {TOC_SQL} AS dots, regexp_replace(text, '^\s+|\s+$', '', 'g') AS line FROM lines) SELECT doc_pk, page, CASE WHEN page <= greatest(20, ceil(n * 0.15)) AND (dots >= 5 OR (regexp_matches(text, '(?i)^\s*(?:inhaltsverzeichnis|inhalt|table of contents|contents|sommaire)\b') AND dots >= 2)) THEN 'toc' WHEN len(regexp_extract_all(text, '\S+')) < 8 THEN 'empty' ELSE 'kept' END AS route FROM t")
 def page_routing(spark, sf_dir):
-    pages = tables.line_pages(spark, sf_dir).where(~F.col("text").rlike(r"\.\s?\.\s?\.\s?\.|…"))
     n = F.count("*").over(Window.partitionBy("doc_pk"))
-    return clean.routed(pages.withColumn("stripped", F.col("text")).withColumn("pages", n)).select("doc_pk", "page", "route")
+    pages = tables.line_pages(spark, sf_dir).withColumn("stripped", F.col("text")).withColumn("pages", n)
+    return clean.routed(pages).select("doc_pk", "page", "route")
 
 
 @query()
