@@ -3,9 +3,9 @@
 A source's target over its size is its rate. Every document is taken floor(rate) times, and once more with the
 rate's fraction as inclusion probability. The flight phase moves these probabilities along the null space of
 two balancing constraints, the token total and the document total of the source, until a unit is in or out;
-what cannot move any more (two units at most) is left over. Units fly in blocks of bounded size, dealt by a hash
-of the id, and the leftovers of all blocks of a source fly again, level after level, until one block is left; its
-last units land where the token total is met best. So a source of any size is spread over many tasks.
+LEFT units at most are left over. Units fly in blocks of bounded size, dealt by a hash of the id, and the leftovers of
+all blocks of a source fly again, level after level, until one block is left; its last units land where the token
+total is met best, the document total within one. So a source of any size is spread over many tasks.
 
 Defined cases: sources go by code point and null, a source of its own, comes last; a null text has size 0 and
 is never taken; a source without words has target 0; repeated rows are units of their own; a null id is a unit
@@ -27,7 +27,7 @@ from folio.llm.common import written
 WEIGHTS = (5, 2, 1)
 CAP = 3
 BLOCK = 4096
-LEFT = 2
+LEFT = 14
 EPS = 1e-9
 
 
@@ -59,15 +59,21 @@ def _draw(seed: int, step: int) -> float:
     return (x ^ x >> 31) / 2**64
 
 
-def flight(p: list[float], sizes: list[float], seed: int) -> list[float]:
-    """Moves the probabilities until at most LEFT are fractional; sums of p and of p * size stay as they are."""
+def flight(p: list[float], sizes: list[float], seed: int, leave: int = LEFT) -> list[float]:
+    """Moves the probabilities until at most `leave` (two or more) are fractional: two that cannot move, and some that a
+    landing with a choice needs: by size at ranks 1, about n^(1/k), n^(2/k) and so on to n, so that large steps and
+    small ones are among them. Sums of p and of p * size stay as they are."""
     p = list(p)
+    open_ = [i for i, x in enumerate(p) if EPS < x < 1 - EPS]
+    by_size = sorted(open_, key=lambda i: (-sizes[i], i))
+    k = min(leave - 2, len(open_))
+    spared = {by_size[min(len(open_), max(1, round(len(open_) ** (j / max(1, k - 1))))) - 1] for j in range(k)}
+    moving = [i for i in open_ if i not in spared]
     scale = max(max(sizes, default=0), 1)
     s = [x / scale for x in sizes]
     held: list[int] = []
-    for i in range(len(p)):
-        if EPS < p[i] < 1 - EPS:
-            held.append(i)
+    for i in moving:
+        held.append(i)
         step = 0
         while len(held) == 3:
             a, b, c = held
@@ -90,14 +96,17 @@ def flight(p: list[float], sizes: list[float], seed: int) -> list[float]:
     return p
 
 
-def landing(p: list[float], sizes: list[float], seed: int) -> list[float]:
-    """The few last fractional units: in or out, so that the token total moves least; ties by the hash."""
+def landing(p: list[float], sizes: list[float]) -> list[float]:
+    """The few last fractional units, in or out: of all choices with a document total within one, the one whose token
+    total is nearest; the first of equals."""
     open_ = [i for i, x in enumerate(p) if EPS < x < 1 - EPS]
-    want = sum(p[i] * sizes[i] for i in open_)
-    best = min(range(1 << len(open_)), key=lambda m: (abs(sum(sizes[i] for k, i in enumerate(open_) if m >> k & 1) - want), _draw(seed, m)))
+    choice = np.arange(1 << len(open_))[:, None] >> np.arange(len(open_)) & 1
+    share, size = np.array([p[i] for i in open_]), np.array([sizes[i] for i in open_])
+    off = np.abs(choice @ size - share @ size)
+    off[np.abs(choice.sum(1) - share.sum()) > 1] = np.inf
     p = [float(round(x)) for x in p]
-    for k, i in enumerate(open_):
-        p[i] = float(best >> k & 1)
+    for i, x in zip(open_, choice[int(np.argmin(off))], strict=True):
+        p[i] = float(x)
     return p
 
 
@@ -113,7 +122,7 @@ def _fly(last: bool):
         seed = (rows["src"][0].as_py() + 1) * 1_000_003 + rows["block"][0].as_py()
         p = flight(p, sizes, seed)
         if last:
-            p = landing(p, sizes, seed)
+            p = landing(p, sizes)
         return rows.set_column(rows.schema.get_field_index("p"), "p", pa.array(p, pa.float64()))
 
     return run
