@@ -13,6 +13,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """For work that is heavy on each row: a table read in fewer parts than there are cores (one small file) is dealt
+    out to all of them; any other is left as it is read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def split_pages(files: DataFrame, text: str = "text") -> DataFrame:
     """One row a page of form-feed separated texts: page from 1, text trimmed; a trailing form feed leaves an empty page."""
     parts = F.posexplode(F.split(F.col(text), "\f")).alias("_pos", "_page")
