@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from folio.llm import bpe, htmltext, langid, mixing, neighbours, quality, secrets, simhash, tokencount, toxicity
 from folio.llm.common import table
+from folio.sources.tables import spread
 
 
 def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
@@ -16,15 +17,15 @@ def vocabulary(name: str = "byte_bpe_multi_50k.tiktoken") -> tuple[str, str]:
 
 
 def op1_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip(table(spark, sf_dir, "documents"), *vocabulary())
+    return bpe.round_trip(spread(table(spark, sf_dir, "documents")), *vocabulary())
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tokencount.counts(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model")[0])
+    return tokencount.counts(spread(table(spark, sf_dir, "documents")), vocabulary("piece_bpe_32k.model")[0])
 
 
 def op3_quality_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.score(table(spark, sf_dir, "documents"))
+    return quality.score(spread(table(spark, sf_dir, "documents")))
 
 
 def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,15 +33,15 @@ def op4_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.scan(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.tiktoken")[0])
+    return secrets.scan(spread(table(spark, sf_dir, "documents")), vocabulary("byte_bpe_50k.tiktoken")[0])
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.classify(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return langid.identify(table(spark, sf_dir, "documents"))
+    return langid.identify(spread(table(spark, sf_dir, "documents")))
 
 
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +49,11 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return htmltext.main_text(table(spark, sf_dir, "pages"))
+    return htmltext.main_text(spread(table(spark, sf_dir, "pages")))
 
 
 def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe_round_trip, op2_token_counts, op3_quality_cascade, op4_embedding_near_dedup, op5_secret_scan, op6_toxicity, op7_language_id, op8_source_mix, op9_html_main_text, op10_simhash_near_dedup)}
