@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from folio.llm import bpe, mixing, quality, secrets, simhash
 from folio.llm.common import table, written
 from folio.llm.queries import vocabulary
+from folio.sources.tables import spread
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +58,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
