@@ -3,7 +3,8 @@
 Each vocabulary entry becomes a piece: its bytes mapped to one printable character each, its score the
 negative rank, so that sentencepiece's best-scoring merge is the lowest-ranked one. The normaliser is the
 identity. Pre-tokens (matches of the pattern) are encoded one by one; decoding looks ids up in the inverse
-mapping. A pre-token that is itself an entry takes that id at once.
+mapping. A pre-token that is itself an entry takes that id at once. The cache only saves time: a text with more
+distinct pre-tokens than it holds has a mapping of its own.
 
 Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows give repeated results;
 input columns other than the id and the text are dropped, so their names never clash; a null id stays null.
@@ -15,12 +16,13 @@ import base64
 import hashlib
 import struct
 from functools import lru_cache
-from itertools import chain
+from itertools import batched, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 CACHE_ENTRIES = 1 << 18
+PORTION = 1 << 16
 
 
 def byte_chars() -> list[str]:
@@ -82,33 +84,33 @@ class Codec:
         self.model = sentencepiece.SentencePieceProcessor(model_proto=serialise(entries))
         self.known: dict[str, tuple[int, ...]] = {}
 
-    def _learn(self, tokens: set[str]) -> None:
-        """Encodes pre-tokens not met lately; what is kept is bounded, whatever the input."""
-        if len(self.known) + len(tokens) > CACHE_ENTRIES:
-            self.known.clear()
-        rest, mapped = [], []
-        for t in tokens:
-            raw = t.encode()
-            whole = self.ranks.get(raw)
-            if whole is not None:
-                self.known[t] = (whole,)
-            else:
-                rest.append(t)
-                mapped.append(raw.decode("latin-1").translate(self.table))
-        if rest:
-            for t, got in zip(rest, self.model.encode(mapped, out_type=int, num_threads=1), strict=True):
-                self.known[t] = tuple(got) if self.dense else tuple(self.ids[i] for i in got)
+    def _learn(self, tokens: set[str], known: dict[str, tuple[int, ...]]) -> None:
+        """Encodes pre-tokens into known, in portions."""
+        for part in batched(tokens, PORTION):
+            rest, mapped = [], []
+            for t in part:
+                raw = t.encode()
+                whole = self.ranks.get(raw)
+                if whole is not None:
+                    known[t] = (whole,)
+                else:
+                    rest.append(t)
+                    mapped.append(raw.decode("latin-1").translate(self.table))
+            if rest:
+                for t, got in zip(rest, self.model.encode(mapped, out_type=int, num_threads=1), strict=True):
+                    known[t] = tuple(got) if self.dense else tuple(self.ids[i] for i in got)
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         tokens = self.split(text)
-        if new := set(tokens).difference(self.known):
-            size = len(self.known)
-            self._learn(new)
-            if len(self.known) < size + len(new) and (lost := set(tokens).difference(self.known)):
-                self._learn(lost)
         known = self.known
+        if new := set(tokens).difference(known):
+            if len(known) + len(new) > CACHE_ENTRIES:
+                # the text goes on with a mapping of its own, which is the next cache if it is small enough
+                known = {t: known[t] for t in set(tokens).difference(new)}
+                self.known = known if len(known) + len(new) <= CACHE_ENTRIES else {}
+            self._learn(new, known)
         return list(chain.from_iterable([known[t] for t in tokens]))
 
     def decode(self, ids) -> bytes:

@@ -42,6 +42,17 @@ def test_small_caches_change_nothing(reference, monkeypatch):
     assert c.encode(text) == reference.encode_ordinary(text)
 
 
+def test_long_texts_after_others(reference, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHE_ENTRIES", 50)
+    monkeypatch.setattr(bpe, "PORTION", 16, raising=False)
+    path, pattern = vocabulary()
+    c = bpe.Codec(bpe.load_ranks(path), pattern)
+    long = [" ".join(f"word{k} xq{k}zj other{k % 5}" for k in range(at, at + 300)) for at in (0, 100, 200)]
+    for text in ("word1 other2", long[0], long[1], "word1 other2 xq1zj", long[2], long[0]):
+        assert c.encode(text) == reference.encode_ordinary(text)
+        assert len(c.known) <= 50
+
+
 def test_sparse_ranks():
     ranks = {bytes([b]): 2 * b for b in range(256)} | {b"ab": 900, b"abc": 800}
     c = bpe.Codec(ranks, r"\S+|\s+")
