@@ -3,7 +3,8 @@
 The base kinds (assign, access, hex) are leftmost non-overlapping matches of their patterns. The method adds
 the kind guess: after a credential word and a separator stands a value; dynamic programming cuts it into the
 cheapest sequence of dictionary words, dates, repeats, keyboard walks and brute-force spans, and the value is a
-secret if guessing that sequence costs MIN_GUESSES or more. Base spans stay as they are; an added span overlaps none.
+secret if guessing that sequence costs MIN_GUESSES or more. Base spans stay as they are; a
+value that lies within them adds none, one that reaches past them is added whole and may overlap them.
 
 Offsets count code points, ends exclude. Defined cases: a null or empty text has no spans, and the digest is
 that of the empty string; repeated rows give repeated results; a null id stays null; scan() drops other input
@@ -129,12 +130,15 @@ def spans(text: str | None, ranks: dict[str, int], least: float = MIN_GUESSES) -
     base = base_spans(text)
     added = []
     if ":" in text or "=" in text or " is " in text:
+        covered = bytearray(len(text) if base else 0)
+        for i, _, j in base:
+            covered[i:j] = b"\1" * (j - i)
         for m in CONTEXT.finditer(text):
             k = m.lastindex
             i, j = m.span(k)
             while j > i and k == 3 and text[j - 1] in ".,;:!?)]}":
                 j -= 1
-            if j - i >= 6 and not any(s < j and i < e for s, _, e in base) and value_cost(text[i:j], ranks) >= math.log10(least):
+            if j - i >= 6 and not (base and all(covered[i:j])) and value_cost(text[i:j], ranks) >= math.log10(least):
                 added.append((i, 3, j))
     return base, sorted(base + added)
 
