@@ -70,46 +70,104 @@ def _alphabet(part: str) -> int:
     return max(2, sum(n for n, has in ((10, any(map(str.isdigit, part))), (26, any(map(str.islower, part))), (26, any(map(str.isupper, part))), (33, not part.isalnum())) if has))
 
 
-def log_guesses(value: str, ranks: dict[str, int]) -> float:
-    """log10 of the guesses for the cheapest segmentation. Costs of segments add up; each further segment costs
-    log10(2) more for the order in which kinds are tried."""
+class _Starts:
+    """Starts i of a segment that may end at any later j, for a cost of best[i] + log10(j - i). An earlier start gains
+    on a later one as j grows and stays ahead then, so the latest one is kept on top for as long as it is cheapest."""
+
+    def __init__(self):
+        self.stack: list[tuple[int, float, float]] = []  # start, cost, the j from which the one below is cheaper
+
+    def add(self, i: int, cost: float, j: int) -> None:
+        """To be called with j growing."""
+        stack = self.stack
+        if stack and self.least(j) <= cost + math.log10(j - i):
+            return
+        until = math.inf
+        while stack:
+            below, c, until_below = stack[-1]
+            ratio = 10 ** (cost - c) if cost - c < 300 else math.inf
+            until = (ratio * i - below) / (ratio - 1) if 1 < ratio < math.inf else i if ratio == math.inf else math.inf
+            if until < math.inf and until < until_below:
+                break
+            stack.pop()
+            until = math.inf
+        stack.append((i, cost, until))
+
+    def least(self, j: int) -> float:
+        stack = self.stack
+        while stack and stack[-1][2] <= j:
+            stack.pop()
+        return stack[-1][1] + math.log10(j - stack[-1][0]) if stack else math.inf
+
+
+def log_guesses(value: str, ranks: dict[str, int], limit: float = math.inf) -> float:
+    """log10 of the guesses for the cheapest segmentation, or limit if that is less. Costs of segments add up; each
+    further segment costs log10(2) more for the order in which kinds are tried.
+
+    No cost is negative, so with a limit no segment starts where it is reached and no repeated block is longer than
+    the limit pays for: the time is in proportion to the length."""
     n, low = len(value), value.lower()
     plain = low.translate(LEET)
     unit = math.log10(_alphabet(value)) if value else 0.0
     best = [0.0] + [math.inf] * n
-    walk = [1] * n  # length of the keyboard walk that ends here
-    for i in range(1, n):
-        walk[i] = walk[i - 1] + 1 if low[i] in NEAR.get(low[i - 1], "") else 1
     longest = max(map(len, ranks), default=0)
+    sizes = n // 2 if limit == math.inf else min(n // 2, int(limit / unit) + 1) if unit else 0
+    same = [0] * (sizes + 1)  # how many characters up to here equal the one a block before
+    blocks: dict[int, dict[int, _Starts]] = {}  # by size and by start modulo size
+    walk, walks = 1, _Starts()  # length of the keyboard walk that ends here, starts within it
+    rough = 0.0  # least best[i] - unit * i
+    alive = 0  # the last start below the limit
     dates: dict[int, list[int]] = {}
-    for i in range(n):
-        if value[i].isdigit() and (m := DATE.match(value, i)):
-            dates.setdefault(m.end(), []).append(i)
 
     for j in range(1, n + 1):
-        options = [best[i] + unit * (j - i) for i in range(j)]  # brute force
+        c = value[j - 1]
+        if c.isdigit() and (m := DATE.match(value, j - 1)):
+            dates.setdefault(m.end(), []).append(j - 1)
+        least = rough + unit * j  # brute force
         for i in range(max(0, j - longest), j - 2):
+            if best[i] >= limit:
+                continue
             for form, extra in ((low, 0.0), (plain, math.log10(4))):
                 if rank := ranks.get(form[i:j]):
                     case = 0.0 if value[i:j] == low[i:j] else math.log10(2 if value[i:j][1:] == low[i + 1 : j] or value[i:j].isupper() else 2 ** min(j - i, 16))
-                    options.append(best[i] + math.log10(rank) + case + extra)
-        options += [best[i] + math.log10(365 * 120) for i in dates.get(j, ())]
-        if walk[j - 1] >= 3:
-            options += [best[j - k] + math.log10(47 * 6 ** min(k - 1, 3) * k) for k in range(3, walk[j - 1] + 1)]
-        for size in range(1, j // 2 + 1):  # the block of this size that ends here, times its repetitions
-            times = 1
-            while (times + 1) * size <= j and value[j - (times + 1) * size : j - times * size] == value[j - size : j]:
-                times += 1
-                if times * size >= 3:
-                    start = j - times * size
-                    options.append(best[start] + unit * size + math.log10(times))
-        best[j] = min(options) + (math.log10(2) if j < n else 0)
-    return best[n]
-
-
-def value_cost(value: str, ranks: dict[str, int], piece: int = 128) -> float:
-    """log_guesses() of the whole value; a longer value is costed in pieces of 128, since the time grows with the square."""
-    return sum(log_guesses(value[i : i + piece], ranks) for i in range(0, len(value), piece))
+                    least = min(least, best[i] + math.log10(rank) + case + extra)
+        for i in dates.pop(j, ()):
+            least = min(least, best[i] + math.log10(365 * 120))
+        if j > 1 and low[j - 1] in NEAR.get(low[j - 2], ""):
+            walk += 1
+            if walk >= 3:
+                least = min(least, best[j - 3] + math.log10(47 * 6**2 * 3))
+            if walk >= 4:
+                if best[j - 4] < limit:
+                    walks.add(j - 4, best[j - 4], j)
+                least = min(least, walks.least(j) + math.log10(47 * 6**3))
+        elif walk > 1:
+            walk, walks = 1, _Starts()
+        for size in range(1, min(sizes, j - 1) + 1):
+            if c != value[j - 1 - size]:
+                if same[size]:
+                    same[size] = 0
+                    blocks.pop(size, None)
+                continue
+            same[size] += 1
+            i = j - max(2 * size, 3)  # two blocks, or three characters
+            if same[size] >= j - i - size:
+                starts = blocks.setdefault(size, {}).setdefault(j % size, _Starts())
+                if best[i] < limit:
+                    starts.add(i, best[i], j)
+                least = min(least, starts.least(j) + unit * size - math.log10(size))
+        best[j] = least + (math.log10(2) if j < n else 0)
+        rough = min(rough, best[j] - unit * j)
+        if best[j] < limit:
+            alive = j
+        elif j - alive > max(longest, 10, 2 * sizes) and not walks.stack and not any(s.stack for by in blocks.values() for s in by.values()):
+            return limit
+    return min(best[n], limit)
+
+
+def value_cost(value: str, ranks: dict[str, int], limit: float = math.inf) -> float:
+    """log_guesses() of the whole value, however long it is."""
+    return log_guesses(value, ranks, limit)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -128,7 +186,7 @@ def spans(text: str | None, ranks: dict[str, int], least: float = MIN_GUESSES) -
     if not text:
         return [], []
     base = base_spans(text)
-    added = []
+    limit, added = math.log10(least), []
     if ":" in text or "=" in text or " is " in text:
         covered = bytearray(len(text) if base else 0)
         for i, _, j in base:
@@ -138,7 +196,7 @@ def spans(text: str | None, ranks: dict[str, int], least: float = MIN_GUESSES) -
             i, j = m.span(k)
             while j > i and k == 3 and text[j - 1] in ".,;:!?)]}":
                 j -= 1
-            if j - i >= 6 and not (base and all(covered[i:j])) and value_cost(text[i:j], ranks) >= math.log10(least):
+            if j - i >= 6 and not (base and all(covered[i:j])) and value_cost(text[i:j], ranks, limit) >= limit:
                 added.append((i, 3, j))
     return base, sorted(base + added)
 

@@ -1,7 +1,9 @@
 import collections
 import hashlib
+import math
 import random
 import re
+import time
 
 import pytest
 
@@ -111,6 +113,47 @@ def test_guess_costs():
         assert cost(w) <= 8 * 1.5563025007672873 + 1e-9
 
 
+def plain_cost(value, ranks):
+    """Every segment of every kind, one by one."""
+    n, low, unit = len(value), value.lower(), math.log10(secrets._alphabet(value))
+    best = [0.0] + [math.inf] * n
+    for j in range(1, n + 1):
+        for i in range(j):
+            part, costs = value[i:j], [unit * (j - i)]
+            for form, extra in ((low, 0.0), (low.translate(secrets.LEET), math.log10(4))):
+                if j - i > 2 and (rank := ranks.get(form[i:j])):
+                    case = 0.0 if part == low[i:j] else math.log10(2 if part[1:] == low[i + 1 : j] or part.isupper() else 2 ** min(j - i, 16))
+                    costs.append(math.log10(rank) + case + extra)
+            if part[0].isdigit() and (m := secrets.DATE.match(value, i)) and m.end() == j:
+                costs.append(math.log10(365 * 120))
+            if j - i > 2 and all(low[k] in secrets.NEAR.get(low[k - 1], "") for k in range(i + 1, j)):
+                costs.append(math.log10(47 * 6 ** min(j - i - 1, 3) * (j - i)))
+            for size in range(1, (j - i) // 2 + 1):
+                if j - i > 2 and (j - i) % size == 0 and part == part[:size] * ((j - i) // size):
+                    costs.append(unit * size + math.log10((j - i) // size))
+            best[j] = min(best[j], best[i] + min(costs) + (math.log10(2) if j < n else 0))
+    return best[n]
+
+
+def test_long_values_are_costed_whole():
+    ranks = secrets.dictionary()
+    for n in (20, 128, 257, 258, 5000):
+        for value in ("*" * n, "as" * n):
+            assert not secrets.spans(f"pwd: {value}", ranks)[1], (n, value[:9])
+    r = random.Random(1)
+    makers = (lambda: "".join(r.choice("ab") for _ in range(r.randint(1, 6))) * r.randint(1, 12), lambda: r.choice("*x7-") * r.randint(1, 60), lambda: "".join(r.choice(["as", "sd", "df", "qwerty", "1", "23"]) for _ in range(r.randint(1, 20))), lambda: r.choice(["Dragon", "m@ster", "1999", "12/03/1999", "pa", "k!Q"]))
+    for _ in range(60):
+        value = "".join(r.choice(makers)() for _ in range(r.randint(1, 4)))[:90]
+        want = plain_cost(value, ranks)
+        assert abs(secrets.log_guesses(value, ranks) - want) < 1e-9, value
+        for limit in (3.0, 9.0):
+            assert abs(secrets.log_guesses(value, ranks, limit) - min(want, limit)) < 1e-9, value
+    start = time.time()
+    assert secrets.value_cost("*" * 300_000, ranks, 9.0) < 9 and secrets.value_cost("k!Q7" + "as" * 100_000, ranks, 9.0) >= 8
+    assert secrets.value_cost("".join(r.choice("abcXYZ019+/") for _ in range(300_000)), ranks, 9.0) == 9.0
+    assert time.time() - start < 60
+
+
 LANGS = {"en": "the of and that with from house water", "de": "der die und nicht mit haus wasser über", "fr": "le la est avec pour maison eau où"}
 
 
