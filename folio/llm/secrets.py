@@ -32,6 +32,7 @@ CONTEXT = re.compile(
     r"""(?<![A-Za-z])(?:password|passwd|passphrase|passcode|pwd|secret(?:_?key)?|token|api_?key|access_?key|private_?key|credentials?|auth(?:orization)?|bearer)["']?(?:\x20*[:=]\x20*|\x20is\x20)(?:bearer\x20)?(?:"([^"\s]{6,})"|'([^'\s]{6,})'|([^\s"'<>,;]{6,}))""",
     re.IGNORECASE | re.ASCII,
 )
+IS = re.compile(r"\x20is\x20", re.IGNORECASE | re.ASCII)
 MIN_GUESSES = 1e9
 #: Words people choose first, most frequent first.
 COMMON = "password 123456 qwerty admin welcome letmein login secret changeme master dragon monkey football iloveyou sunshine princess shadow hello test guest root default user example none null true false your here".split()
@@ -187,7 +188,7 @@ def spans(text: str | None, ranks: dict[str, int], least: float = MIN_GUESSES) -
         return [], []
     base = base_spans(text)
     limit, added = math.log10(least), []
-    if ":" in text or "=" in text or " is " in text:
+    if ":" in text or "=" in text or IS.search(text):
         covered = bytearray(len(text) if base else 0)
         for i, _, j in base:
             covered[i:j] = b"\1" * (j - i)

@@ -113,6 +113,12 @@ def test_guess_costs():
         assert cost(w) <= 8 * 1.5563025007672873 + 1e-9
 
 
+def test_separator_words_in_any_case():
+    ranks = secrets.dictionary()
+    for word in ("is", "IS", "Is", "iS"):
+        assert secrets.spans(f"THE PASSWORD {word} ZX9!KQ2#VB7$ today", ranks)[1] == [(16, 3, 28)]
+
+
 def plain_cost(value, ranks):
     """Every segment of every kind, one by one."""
     n, low, unit = len(value), value.lower(), math.log10(secrets._alphabet(value))
