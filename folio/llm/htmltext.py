@@ -34,8 +34,13 @@ TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|(/?)([a-zA-Z][^\s/>]*)((?>[^>\"']*(?:\"[
 ATTRIBUTES = re.compile(r"(?:class|id|role|itemprop)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 TOKEN = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg select button xmp".split())
 SKIPPED = frozenset("head script style textarea title noscript template iframe svg select button xmp object canvas audio video".split())
+#: Skipped elements whose content is no mark-up: without an end tag they reach to the page's end.
+RAW_TEXT = frozenset("script style textarea title iframe xmp noframes".split())
+#: Start tags that leave a head open.
+HEAD = frozenset("html head title meta link base basefont bgsound noframes script style noscript template".split())
+#: Start tags that never stand in a button or select.
+SECTIONS = frozenset("article main section nav header footer aside".split())
 BLOCKS = "html body div p section article main nav header footer aside form ul ol li dl dt dd table thead tbody tfoot tr td th blockquote pre figure figcaption address fieldset details summary h1 h2 h3 h4 h5 h6 center hr dialog menu legend caption hgroup search".split()
 CODE = {t: i for i, t in enumerate(BLOCKS)}
 CLOSES_P = frozenset(BLOCKS) - {"html", "body", "td", "th", "tr", "thead", "tbody", "tfoot", "caption", "legend", "summary"}
@@ -88,6 +93,81 @@ def _bits(tag: str, attributes: str) -> int:
     return found
 
 
+def _closed(tail: str) -> bool:
+    """Whether a start tag ends with a slash."""
+    return tail.rstrip(">").endswith("/")
+
+
+def _raw_end(text: str, at: int, name: str) -> int:
+    close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(text, at)
+    return close.end() if close else len(text)
+
+
+def _skip(text: str, at: int, name: str, around: dict[str, int], last: dict[str, int]) -> int:
+    """Where a skipped element ends whose start tag ends here: behind its own end tag, or before the end tag (also an
+    implied one) of a block around it, or before a tag that can't stand in it. Without any end tag of its own on the
+    rest of the page the first block ends it. around counts the open elements; last keeps the place of each name's
+    last end tag on the page."""
+    if name not in last:
+        last[name] = max((m.start() for m in re.finditer(rf"</{re.escape(name)}\b", text, re.I)), default=-1)
+    foreign = frozenset(BLOCKS) if last[name] < at else SECTIONS if name in ("button", "select") else frozenset(("body",))
+    inner: list[str] = []
+    count: dict[str, int] = {}
+    while m := TAG.search(text, at):
+        at = m.end()
+        if not m[2]:
+            continue
+        tag = m[2].lower()
+        if m[1]:
+            if count.get(tag):
+                while (x := inner.pop()) != tag:
+                    count[x] -= 1
+                count[tag] -= 1
+            elif tag == name:
+                return at
+            elif tag in ("head", "body", "html") or tag in CODE and around.get(tag):
+                return m.start()
+            continue
+        if tag in foreign or tag == name and name in ("button", "select"):
+            return m.start()
+        if tag in IMPLIED:
+            closed, bounds = IMPLIED[tag]
+            if any(around.get(x) for x in closed) and not any(count.get(x) for x in closed | bounds):
+                return m.start()
+        if _closed(m[3]) or tag in VOID:
+            continue
+        if tag in RAW_TEXT:
+            at = _raw_end(text, at, tag)
+        else:
+            inner.append(tag)
+            count[tag] = count.get(tag, 0) + 1
+    return len(text)
+
+
+def _head_end(text: str, at: int, last: dict[str, int]) -> int:
+    """Where the head ends whose start tag ends here: behind its end tag or before what can't stand in it."""
+    while True:
+        m = TAG.search(text, at)
+        stop = m.start() if m else len(text)
+        if text[at:stop].strip() or not m:
+            return at if text[at:stop].strip() else stop
+        at = m.end()
+        if not m[2]:
+            continue
+        name = m[2].lower()
+        if m[1]:
+            if name == "head":
+                return at
+            if name in ("body", "html", "br"):
+                return stop
+        elif name not in HEAD:
+            return stop
+        elif name in RAW_TEXT and not _closed(m[3]):
+            at = _raw_end(text, at, name)
+        elif name in ("noscript", "template") and not _closed(m[3]):
+            at = _skip(text, at, name, {}, last)
+
+
 def parse(text: str, page: int, nodes: Nodes) -> None:
     """Appends the page's nodes and runs. The root is a body node of its own."""
     parent, end, tags, chars, links = nodes.parent, nodes.end, nodes.tags, nodes.chars, nodes.links
@@ -136,6 +216,7 @@ def parse(text: str, page: int, nodes: Nodes) -> None:
                 end[node] = len(parent)
 
     at, size = 0, len(text)
+    last: dict[str, int] = {}
     search = TAG.search
     while at < size:
         m = search(text, at)
@@ -168,13 +249,11 @@ def parse(text: str, page: int, nodes: Nodes) -> None:
             elif name == "p" or name in CODE:
                 flush(node)
             continue
-        if name in RAW or name in SKIPPED:
+        if name in SKIPPED:
             if name == "head":
-                close = re.compile(r"</head\s*>|<body\b", re.I).search(text, at)
-                at = size if not close else close.start() if text[close.start() + 1] != "/" else close.end()
-            elif not m[3].rstrip(">").endswith("/"):
-                close = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(text, at)
-                at = close.end() if close else size
+                at = _head_end(text, at, last)
+            elif not _closed(m[3]):
+                at = _raw_end(text, at, name) if name in RAW_TEXT else _skip(text, at, name, count, last)
             parts.append(" ")
             continue
         if name in VOID:
@@ -184,7 +263,7 @@ def parse(text: str, page: int, nodes: Nodes) -> None:
                 parts.append(" ")
             continue
         if name not in CODE:
-            if not m[3].rstrip(">").endswith("/"):
+            if not _closed(m[3]):
                 count[name] = count.get(name, 0) + 1
                 stack.append((name, node))
             continue

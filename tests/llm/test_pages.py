@@ -1,3 +1,5 @@
+import time
+
 import pytest
 
 from folio.llm import htmltext as H
@@ -48,6 +50,40 @@ def test_broken_pages(trees, page):
     assert isinstance(H.extract([page], trees)[0], str)
 
 
+def runs(page):
+    nodes = H.Nodes()
+    H.parse(page, 0, nodes)
+    return [t for _, t in nodes.runs]
+
+
+@pytest.mark.parametrize("end", ["", "</head>", "</head><body>", "<body class=x>"])
+def test_heads_without_end_tag(trees, end):
+    page = PAGE.replace("</head><body>", "<meta name=a><script>'<body>'</script><noscript><link></noscript><!-- <p> -->" + end)
+    assert runs(page) == runs(PAGE) and H.extract([page], trees) == H.extract([PAGE], trees)
+    assert runs("<html><head><title>t</title>plain words") == ["plain words"]
+
+
+@pytest.mark.parametrize("name", ["button", "select", "noscript", "object", "video", "audio", "canvas", "svg", "template"])
+def test_skipped_elements_without_end_tag(trees, name):
+    want = H.extract([PAGE], trees)
+    for later in ("", f"<div><{name}>no</{name}></div>"):
+        page = PAGE.replace("<nav>", f"<div class='notice'><{name}>OK</div><nav>") + later
+        assert "OK" not in runs(page) and runs(page) == runs(PAGE), name
+        assert H.extract([page], trees) == want
+    assert runs(f"<body><{name}>no<article>text</article>") == ["text"]
+    assert runs(f"<table><tr><td><{name}>no<td>text</table><p>more") == ["text", "more"]
+    assert runs(f"<div>a<{name}><i>no</i><div>no</div></{name}>b</div>c") == ["a b", "c"]
+    assert runs(f"<div>a<{name}><script></{name}></div></script>no</{name}>b</div>c") == ["a b", "c"]
+
+
+def test_many_unclosed_elements_take_linear_time():
+    start = time.time()
+    for part in ("<button>x", "<video><div></div>", "<div><svg>x</div>", "<object>", "<select><p>x"):
+        runs(part * 20_000)
+        runs(part * 20_000 + "</video></svg></object></button></select>")
+    assert time.time() - start < 60
+
+
 def test_scripts_and_forms_never_count(trees):
     got = H.extract(["<article><p>Some text is here, and more of it.</p><script>no()</script><style>no{}</style><select><option>no</option></select><textarea>no</textarea><noscript>no</noscript></article>"], trees)[0]
     assert got == "Some text is here, and more of it."
