@@ -21,13 +21,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group the document with the smallest id stays; of rows that repeat this id, one does. Rows without
-    an id can't be told apart by it and stay."""
-    prints = written(simhash.fingerprints(docs), "prints")
-    found = simhash.groups(prints)
-    stays = prints.join(found, "fp").where("doc_id = component_id").select("doc_id").distinct()
-    kept = docs.join(stays, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.unionByName(docs.where(F.col("doc_id").isNull()))
+    """Of each group one row stays: that with the smallest id, rows without one last; among rows that repeat this id,
+    that with the smallest hash of the whole row. Rows that are equal throughout count as one."""
+    # text and id first: rows that differ in them have different hashes, whatever is null
+    values = [F.coalesce("text", F.lit("")), F.col("doc_id").isNull(), F.col("doc_id"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))]
+    keyed = docs.withColumn("row_a", F.xxhash64(*values)).withColumn("row_b", F.xxhash64(F.lit(1), *values))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_a", "row_b").alias("row")
+    prints = written(simhash.fingerprints(keyed.select(row, "text"), "row"), "prints")
+    stays = simhash.groups(prints, id_col="row").select("component_id.row_a", "component_id.row_b").distinct()
+    kept = keyed.join(stays, ["row_a", "row_b"], "left_semi").dropDuplicates(["row_a", "row_b"])
+    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,4 +1,6 @@
+import itertools
 import os
+import random
 
 import pytest
 
@@ -54,3 +56,17 @@ def test_stages_take_odd_tables(spark, tmp_path):
             docs = stage(spark, docs, DATA)
         assert docs.columns == ["doc_id", "n_tokens", "ids"] and (table or docs.count() == 0)
         docs.collect()
+
+
+def test_near_dedup_decides_by_row(spark):
+    from folio.llm import simhash
+
+    r = random.Random(4)
+    a, b, c, d, e = (" ".join("".join(r.choices("abcdefgh", k=6)) for _ in range(80)) for _ in range(5))
+    prints = [simhash.fingerprint(t) for t in (a, b, c, d, e)]
+    assert all((x ^ y).bit_count() > 3 for x, y in itertools.combinations(prints, 2))
+    rows = [(None, a), (None, a), (None, b), (None, c), (3, c), (7, c), (5, d), (5, e), (5, e), (9, d)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.near_dedup(spark, docs, DATA)
+    assert out.columns == docs.columns
+    assert sorted(((x.doc_id, x.text) for x in out.collect()), key=str) == sorted([(None, a), (None, b), (3, c), (5, d), (5, e)], key=str)
