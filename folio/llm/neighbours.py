@@ -238,7 +238,7 @@ def links(nodes: DataFrame, threshold: float) -> DataFrame:
     per = {r.dim: r.n for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(16).collect()}
     total = sum(per.values())
     share = int(min(1.0, SAMPLE_ROWS / max(1, total)) * 1_000_000)
-    sample = nodes.where(F.pmod(F.xxhash64("node"), F.lit(1_000_000)) < share).select("dim", "vec").toArrow()
+    sample = nodes.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < share).select("dim", "vec").toArrow()
     models, dims = {}, np.array(sample["dim"])
     for dim, n in per.items():
         if (mine := dims == dim).any():
@@ -263,9 +263,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     vec = F.transform(vectors[vec_col], lambda x: x.cast(kind) + F.lit(0.0).cast(kind))  # + 0.0: no negative zero
     rows = vectors.select(vectors[id_col].alias("id"), vec.alias("vec")).withColumn("ok", F.coalesce(F.expr(_valid("vec")), F.lit(False)))
     good = rows.where("ok").groupBy("vec").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
-    # a node's number is that of its smallest id; without one, a negative hash of the vector
-    node = F.coalesce(F.col("low"), -F.abs(F.xxhash64("vec")) - 1)
-    nodes = written(good.select(node.alias("node"), "low", "copies", F.size("vec").alias("dim"), "vec"), "vectors")
+    # each distinct vector has a number of its own, fixed once written: ids may be null or shared by different vectors
+    nodes = written(good.select(F.monotonically_increasing_id().alias("node"), "low", "copies", F.size("vec").alias("dim"), "vec"), "vectors")
     found = written(links(nodes.select("node", "copies", "dim", "vec"), threshold), "links")
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b IS NOT NULL"))

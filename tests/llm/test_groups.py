@@ -134,6 +134,12 @@ def test_float_vectors_and_repeated_ids(spark):
     assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 2, True), (None, 1, 2, False)]
 
 
+def test_different_vectors_that_share_an_id(spark):
+    df = spark.createDataFrame([(1, [1.0, 0.0]), (1, [1.0, 0.1]), (1, [0.0, 1.0]), (2, [0.1, 1.0]), (3, [0.0, 2.0])], "vec_id long, embedding array<double>")
+    got = sorted((r.vec_id, r.n_links, r.component_id) for r in neighbours.near_duplicates(df).collect())
+    assert got == [(1, 1, 1), (1, 1, 1), (1, 2, 1), (2, 2, 1), (3, 2, 1)]
+
+
 def test_targets():
     assert mixing.targets([100, 100, 100]) == pytest.approx([187.5, 75.0, 37.5])
     assert mixing.targets([10, 1000, 1000]) == pytest.approx([30.0, 1980 * 2 / 3, 1980 / 3])
