@@ -13,11 +13,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: What spread() moves at most.
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """For work that is heavy on each row: a table read in fewer parts than there are cores (one small file) is dealt
-    out to all of them; any other is left as it is read."""
+    """For work that is heavy on each row: a table of SPREAD_BYTES at most that is read in fewer parts than there are cores
+    (one small file with one row group can't be split) is dealt out to all of them. Any larger table is left as it is
+    read, so that no more than this bound is ever moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= SPREAD_BYTES
+    return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df
 
 
 def split_pages(files: DataFrame, text: str = "text") -> DataFrame:
