@@ -1,18 +1,20 @@
-"""What the corpus operators share: table access, written intermediates, words and keys."""
+"""What the corpus operators share: table access, written intermediates, words, keys and joins with hot keys."""
 
 from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.sources.scratch import shared_dir, written
+from folio.sources.scratch import dropped, shared_dir, written
 from folio.sources.tables import table
 
-__all__ = ["WHITE", "built", "fold", "fold_of", "shared_dir", "table", "words_of", "written"]
+__all__ = ["HEAVY", "WHITE", "built", "dropped", "fold", "fold_of", "met", "row_hash", "shared_dir", "table", "words_of", "written"]
 
 WHITE = " \t\n\v\f\r"
+#: A key is heavy if it has at least this part of all rows; so there are at most as many heavy keys.
+HEAVY = 10_000
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -29,6 +31,25 @@ def fold_of(doc_id: int | None, folds: int = 5) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds if doc_id is not None else 0
 
 
+def row_hash(df: DataFrame, seed: int) -> Column:
+    """64 bits of all columns together; a null differs from every value, in whichever column it stands."""
+    parts = []
+    for f in df.schema.fields:
+        value = df[f"`{f.name}`"]
+        parts += [value.isNull(), F.to_json(F.struct(value)) if "map<" in f.dataType.simpleString() else value]
+    return F.xxhash64(F.lit(seed), *parts)
+
+
+def met(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int, heavy: int = HEAVY) -> DataFrame:
+    """Inner join of rows with a written table that has each key once and, in `count`, the key's number of rows; total:
+    the number of all rows. Keys with a `heavy`-th of them or more are `heavy` at most: these are broadcast, so that
+    their rows stay where they are; all others are met by a shuffle in which no key is large."""
+    hot = F.broadcast(table.where(F.col(count) * heavy >= total))
+    rest = table.where(F.col(count) * heavy < total)
+    light = rows.join(F.broadcast(table.where(F.col(count) * heavy >= total).select(*on)), on, "left_anti")
+    return rows.join(hot, on).unionByName(light.join(rest, on))
+
+
 _built: dict[int, tuple] = {}
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import written
+from folio.llm.common import dropped, written
 
 
 def _state(edges: DataFrame) -> tuple[int, int]:
@@ -32,7 +32,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         low = large.groupBy(F.col("v").alias("x")).agg(F.min("u").alias("m"))
         both = large.join(low, large.v == low.x)
         small = both.select(F.explode(F.array(F.struct(F.col("m").alias("u"), F.col("u").alias("v")), F.struct(F.col("m").alias("u"), F.col("x").alias("v")))).alias("p")).select("p.u", "p.v")
-        e = written(small.where("u != v").distinct(), "edges")
+        spent, e = e, written(small.where("u != v").distinct(), "edges")
+        dropped(spent)
         before, state = state, _state(e)
         if state == before:
             break

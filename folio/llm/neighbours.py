@@ -1,18 +1,25 @@
 """Embedding near-dedup by product quantisation.
 
-Vectors are scaled to length 1. A coarse quantiser deals them into inverted lists; what a vector differs from its
-list's centre is cut into SUBSPACES parts, each coded by the nearest of 256 code words. A vector probes the lists
-whose border with its own list is nearer than a margin; the margin is calibrated on the sample, so that of pairs
-right at the threshold at least PROBE_RECALL find each other. In a probed list, distances come from a table of
-squares per subspace and code; a candidate stays if its table distance could still be within reach given the
-member's own coding error (no loss by the triangle inequality), and its exact cosine, in double precision on the
-vectors as given, decides.
-
-Equal vectors are one node with a count. A list's members and probes meet in blocks of bounded size; a block
-returns link counts and a spanning forest of its links, never its pairs.
-
-Centres and code words are fitted on a bounded sample (SAMPLE_ROWS, drawn by a hash; MAX_LISTS bounds the centres,
-and with them what is sent to the executors); every vector is indexed.
+Vectors are scaled to length 1. A coarse quantiser of two levels deals them into inverted lists: the nearest of the
+top centres, then the nearest of the lower centres to what is left. As lists are pairs of centres, their number grows
+with the vectors (LIST_ROWS a list) while the centres, which are sent to the executors, grow with its root. There are
+several such quantisers, fitted from different starts, and a vector probes its list in each of them: as many as are
+needed for PROBE_RECALL of sample pairs right at the threshold to meet in one (closer pairs meet more often). A single
+quantiser with many probes would have to look at far more of the vectors for the same recall.
+
+In a list, what a vector differs from the centre is cut into SUBSPACES parts, each coded by the nearest of 256 code
+words. Distances to the members come from a table of squares per subspace and code; a member stays if its table
+distance could still be within reach given its own coding error (no loss by the triangle inequality), and its exact
+cosine, in double precision on the vectors as given, decides. A pair that meets in several quantisers counts in the
+first.
+
+Equal vectors are one node with a count. The members of a list meet in blocks of bounded size; a block
+returns link counts and a spanning forest of its links, never its pairs. The quantisers are gone through one after the
+other, so that one copy of the vectors is shuffled at a time.
+
+Centres and code words are fitted on a bounded sample (SAMPLE_ROWS expected, drawn by a hash, shared evenly by the
+LENGTHS most frequent lengths); every vector is indexed. Vectors of any other length are one list, compared in blocks,
+exactly. MAX_CENTRES a level make four million lists: up to four thousand million vectors, lists keep their size.
 
 Defined cases: vectors that are null, empty, zero or hold null or non-finite components link with nothing (n_links
 0, a component of their own, kept); vectors of different lengths never link; rows that repeat a vector link with
@@ -30,13 +37,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import built, written
+from folio.llm.common import HEAVY, built, met, written
 from folio.llm.components import components
 
-SAMPLE_ROWS, MAX_LISTS, LIST_ROWS = 32_768, 4_096, 64
+SAMPLE_ROWS, MAX_CENTRES, LIST_ROWS, LENGTHS = 32_768, 2_048, 1_024, 128
 SUBSPACES, WORDS = 8, 256
-PROBE_RECALL = 0.99
-ENTRY_BLOCK, QUERY_BLOCK = 2_048, 4_096
+PROBE_RECALL, MAX_QUANTISERS = 0.99, 32
+BLOCK = 2_048
 
 
 def _assign(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
@@ -47,7 +54,6 @@ def _assign(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def k_means(x: np.ndarray, k: int, rounds: int = 8, seed: int = 3) -> np.ndarray:
     """Lloyd's rounds from a random start; an emptied cluster restarts at a random vector."""
     r = np.random.default_rng(seed)
-    x = np.unique(x, axis=0)
     k = min(k, len(x))
     centres = x[r.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
@@ -69,56 +75,63 @@ def _parts(x: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """The quantisers for vectors of one length."""
+    """A coarse quantiser and the code words for vectors of one length. A list's number is that of its top centre times
+    the number of lower centres plus that of its lower centre."""
+
+    def __init__(self, tops: np.ndarray, lows: np.ndarray, code_words: list[np.ndarray], reach: float):
+        self.tops, self.lows, self.code_words, self.reach = tops, lows, code_words, reach
 
-    def __init__(self, centres: np.ndarray, code_words: list[np.ndarray], reach: float, margin: float):
-        self.centres, self.code_words, self.reach, self.margin = centres, code_words, reach, margin
-        self.square = (centres**2).sum(1)
+    @classmethod
+    def fit(cls, x: np.ndarray, rows: int, threshold: float, seed: int = 3, code_words: list[np.ndarray] | None = None) -> Index:
+        """x: a sample of unit vectors; rows: how many there are in all. Code words of another quantiser serve as well:
+        what they miss is in the coding error."""
+        k = min(MAX_CENTRES, math.ceil(math.sqrt(max(1, rows // LIST_ROWS))), max(1, len(x) // 8))
+        tops = k_means(x, k, seed=seed)
+        lows = k_means(x - tops[_assign(x, tops)], k, seed=seed + 1)
+        index = cls(tops, lows, code_words or [], math.sqrt(max(0.0, 2 - 2 * threshold)))
+        if not code_words:
+            drawn = x[np.random.default_rng(seed).permutation(len(x))[:8192]]
+            rest = _parts(drawn - index.centre(index.lists(drawn)))
+            index.code_words = [k_means(np.unique(rest[:, s], axis=0), WORDS, 6) for s in range(SUBSPACES)]
+        return index
 
     @classmethod
-    def fit(cls, x: np.ndarray, rows: int, threshold: float) -> Index:
-        """x: a sample of unit vectors; rows: how many there are in all."""
-        lists = int(min(MAX_LISTS, max(1, rows // LIST_ROWS), max(1, len(x) // 8)))
-        centres = k_means(x, lists)
-        rest = _parts(x - centres[_assign(x, centres)])
-        code_words = [k_means(rest[:8192, s], WORDS, 6) for s in range(SUBSPACES)]
-        index = cls(centres, code_words, math.sqrt(max(0.0, 2 - 2 * threshold)), np.inf)
-        # pairs right at the threshold: sample vectors and a random step away from each
-        r = np.random.default_rng(5)
-        base = x[r.integers(0, len(x), 20_000)]
+    def fit_all(cls, x: np.ndarray, rows: int, threshold: float) -> list[Index]:
+        """Quantisers until enough of the pairs right at the threshold (sample vectors and a random step away from each)
+        meet in one of them."""
+        r, x = np.random.default_rng(5), np.unique(x, axis=0)
+        base = x[r.integers(0, len(x), 10_000)]
         step = r.standard_normal(base.shape)
         step -= (step * base).sum(1, keepdims=True) * base
         step /= np.maximum(np.linalg.norm(step, axis=1, keepdims=True), 1e-12)
         other = threshold * base + math.sqrt(max(0.0, 1 - threshold**2)) * step
-        at = _assign(other, centres)
-        need = np.concatenate([index.borders(base[i : i + 2048])[np.arange(len(base[i : i + 2048])), at[i : i + 2048]] for i in range(0, len(base), 2048)])
-        index.margin = float(np.quantile(need, PROBE_RECALL)) + 1e-9
-        return index
+        out, apart = [], np.ones(len(base), bool)
+        while apart.mean() > 1 - PROBE_RECALL and len(out) < MAX_QUANTISERS:
+            out.append(cls.fit(x, rows, threshold, 3 + 100 * len(out), out[0].code_words if out else None))
+            apart &= out[-1].lists(base) != out[-1].lists(other)
+        return out
+
+    def lists(self, x: np.ndarray) -> np.ndarray:
+        top = _assign(x, self.tops)
+        return top * len(self.lows) + _assign(x - self.tops[top], self.lows)
 
-    def borders(self, x: np.ndarray) -> np.ndarray:
-        """Each vector's distance to the border between its own list and every list."""
-        d = self.square - 2 * x @ self.centres.T
-        own = np.argmin(d, 1)
-        gaps = np.sqrt(np.maximum(self.square[own][:, None] + self.square - 2 * self.centres[own] @ self.centres.T, 1e-12))
-        return (d - d[np.arange(len(x)), own][:, None]) / (2 * gaps)
-
-    def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """List, codes and coding error of each vector."""
-        at = _assign(x, self.centres)
-        rest = _parts(x - self.centres[at])
-        codes = np.stack([_assign(rest[:, s], w) for s, w in enumerate(self.code_words)], 1).astype(np.uint8)
-        error = np.sqrt(sum(((rest[:, s] - w[codes[:, s]]) ** 2).sum(1) for s, w in enumerate(self.code_words)))
-        return at, codes, error
+    def centre(self, lists) -> np.ndarray:
+        return self.tops[lists // len(self.lows)] + self.lows[lists % len(self.lows)]
+
+    def encode(self, y: np.ndarray, at: int) -> tuple[np.ndarray, np.ndarray]:
+        """Codes and coding error of a list's members."""
+        rest = _parts(y - self.centre(at))
+        codes = np.stack([_assign(rest[:, s], w) for s, w in enumerate(self.code_words)], 1)
+        return codes, np.sqrt(sum(((rest[:, s] - w[codes[:, s]]) ** 2).sum(1) for s, w in enumerate(self.code_words)))
 
     def candidates(self, x: np.ndarray, at: int, codes: np.ndarray, error: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Pairs (row of x, member of the list) that may be within reach."""
-        rest = _parts(x - self.centres[at])
+        rest = _parts(x - self.centre(at))
         total = np.zeros((len(x), len(codes)), np.float32)
         for s, w in enumerate(self.code_words):
-            used, at_word = np.unique(codes[:, s], return_inverse=True)
-            w, part = w[used], rest[:, s]
+            part = rest[:, s]
             table = (part**2).sum(1)[:, None] - 2 * part @ w.T + (w**2).sum(1)
-            total += np.take(table.astype(np.float32), at_word, axis=1)
+            total += np.take(table.astype(np.float32), codes[:, s], axis=1)
         return np.nonzero(total <= ((self.reach + error + 1e-4) ** 2 + 1e-4).astype(np.float32))
 
 
@@ -137,9 +150,8 @@ def _valid(vec: str) -> str:
     return f"size({vec}) > 0 AND forall({vec}, x -> x IS NOT NULL AND NOT isnan(x) AND abs(x) < double('Infinity')) AND exists({vec}, x -> x <> 0)"
 
 
-def _indexed(nodes: DataFrame, indexes) -> DataFrame:
-    """Adds the list (dim * 2^32 + number), codes, error and the lists to probe: its own and those with a larger
-    number behind a near border; for a pair of lists the one with the smaller number probes."""
+def _listed(nodes: DataFrame, indexes) -> DataFrame:
+    """Adds lists: a vector's list in each quantiser of its length; none where the length has no quantiser."""
 
     def run(batches):
         models = built(indexes, lambda value: value)
@@ -150,114 +162,108 @@ def _indexed(nodes: DataFrame, indexes) -> DataFrame:
                 for i in range(0, part.num_rows, 2048):
                     rows = part.slice(i, 2048)
                     x = _unit(_matrix(rows.column("vec")))
-                    model = models.get(int(dim))
-                    if model is None:  # not in the sample: one list
-                        at, codes, error = np.zeros(len(x), np.int64), np.zeros((len(x), SUBSPACES), np.uint8), np.full(len(x), 4.0)
-                        probes = [[0]] * len(x)
-                    else:
-                        at, codes, error = model.encode(x)
-                        near = model.borders(x) <= model.margin
-                        probes = [[int(own), *np.flatnonzero(row[own + 1 :]) + own + 1] for own, row in zip(at, near, strict=True)]
-                    base = int(dim) << 32
-                    yield pa.RecordBatch.from_arrays(
-                        [rows.column("node"), rows.column("copies"), rows.column("vec"), pa.array(at + base), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(error), pa.array([[int(p) + base for p in ps] for ps in probes], pa.list_(pa.int64()))],
-                        ["node", "copies", "vec", "list", "codes", "error", "probes"],
-                    )
-
-    return nodes.mapInArrow(run, f"node long, copies long, vec {nodes.schema['vec'].dataType.simpleString()}, list long, codes binary, error double, probes array<long>")
-
-
-def _meet(indexes, threshold: float):
-    """One block: members of a list and vectors that probe it. Rows (a, b, n): with b null, n links of a; else an
-    edge of the block's forest."""
+                    lists = np.stack([m.lists(x) for m in models[int(dim)]], 1) if int(dim) in models else np.zeros((len(x), 0), np.int64)
+                    yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in ("node", "copies", "dim", "vec")), pa.array(list(lists.astype(np.int32)), pa.list_(pa.int32()))], ["node", "copies", "dim", "vec", "lists"])
+
+    return nodes.mapInArrow(run, f"node long, copies long, dim int, vec {nodes.schema['vec'].dataType.simpleString()}, lists array<int>")
+
+
+def _meet(indexes, threshold: float, nth: int):
+    """One block of a list in the nth quantiser: the pairs of its parts `low` and `high`, or within the part if they are
+    one. Rows (a, b, n): with b null, n links of a; else an edge of the block's forest."""
 
     def run(block: pa.Table) -> pa.Table:
         models = built(indexes, lambda value: value)
-        block = block.combine_chunks()
-        is_entry = np.array(block["entry"])
-        entries, probes = (block.filter(pa.array(m)).sort_by("node").combine_chunks() for m in (is_entry, ~is_entry))
-        empty = {"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "n": pa.array([], pa.int64())}
-        if not entries.num_rows or not probes.num_rows:
-            return pa.table(empty)
-        place = entries["list"][0].as_py()
-        model = models.get(place >> 32)
-        y, x = (_matrix(t["vec"].combine_chunks() if isinstance(t["vec"], pa.ChunkedArray) else t["vec"]) for t in (entries, probes))
-        y_id, x_id = np.array(entries["node"]), np.array(probes["node"])
-        y_n, x_n = np.array(entries["copies"]), np.array(probes["copies"])
-        home = np.array(probes["list"]) == place
-        codes = np.frombuffer(b"".join(entries["codes"].to_pylist()), np.uint8).reshape(-1, SUBSPACES)
-        error, unit = np.array(entries["error"]), _unit(x)
-        y_scaled = y / np.abs(y).max(1, keepdims=True)
-        x_scaled = x / np.abs(x).max(1, keepdims=True)
-        y_norm, x_norm = np.linalg.norm(y_scaled, axis=1), np.linalg.norm(x_scaled, axis=1)
-        x_links, y_links = np.zeros(len(x), np.int64), np.zeros(len(y), np.int64)
-        # a label for each vector, the same for those linked so far
-        y_at = {int(k): len(x) + i for i, k in enumerate(y_id)}
-        spot = np.arange(len(x) + len(y))
-        spot[: len(x)] = [y_at.get(int(k), i) for i, k in enumerate(x_id)]  # a member that probes its own list is one vector
-        label = spot.copy()
-
-        forest = []
-        step = max(1, 500_000 // len(y))
-        for k in range(0, len(x), step):
-            if model is None:
-                i, j = (a.ravel() for a in np.indices((len(x[k : k + step]), len(y))))
-            else:
-                i, j = model.candidates(unit[k : k + step], place & 0xFFFFFFFF, codes, error)
-            i = i + k
-            once = ~home[i] | (x_id[i] < y_id[j])  # within a list each pair once
-            i, j = i[once], j[once]
-            for s in range(0, len(i), 100_000):
-                p, q = i[s : s + 100_000], j[s : s + 100_000]
-                cosine = np.einsum("ij,ij->i", x_scaled[p], y_scaled[q]) / (x_norm[p] * y_norm[q])
-                p, q = p[cosine >= threshold], q[cosine >= threshold]
-                np.add.at(x_links, p, y_n[q])
-                np.add.at(y_links, q, x_n[p])
-                if not len(p):
-                    continue
-                first = np.flatnonzero(np.append(True, p[1:] != p[:-1]))  # candidates come row by row
-                for u, near in zip(p[first], np.split(q, first[1:]), strict=True):
-                    mine = label[spot[u]]
-                    found, at_near = np.unique(label[len(x) + near], return_index=True)
-                    new = found != mine
-                    if new.any():
-                        forest += [(int(x_id[u]), int(y_id[near[k]])) for k in at_near[new]]
-                        label[np.isin(label, found)] = mine
-        fx, fy = np.flatnonzero(x_links), np.flatnonzero(y_links)
-        a = np.concatenate([x_id[fx], y_id[fy], np.array([e[0] for e in forest], np.int64)])
-        b = pa.array([None] * (len(fx) + len(fy)) + [e[1] for e in forest], pa.int64())
-        n = np.concatenate([x_links[fx], y_links[fy], np.zeros(len(forest), np.int64)])
-        return pa.table({"a": pa.array(a), "b": b, "n": pa.array(n)})
+        block = block.sort_by("node").combine_chunks()
+        low, high, dim = (block[c][0].as_py() for c in ("low", "high", "dim"))
+        part = np.array(block["part"])
+        first, second = np.flatnonzero(part == low), np.flatnonzero(part == high)
+        ids, copies = np.array(block["node"]), np.array(block["copies"])
+        links, label, forest = np.zeros(len(ids), np.int64), np.arange(len(ids)), []
+        if len(first) and len(second):
+            vec = _matrix(block["vec"].combine_chunks())
+            scaled = vec / np.abs(vec).max(1, keepdims=True)  # so that no square overflows
+            norm = np.linalg.norm(scaled, axis=1)
+            unit = scaled / norm[:, None]
+            model, before = None, np.zeros((len(ids), 0), np.int32)
+            if dim in models:
+                model, at = models[dim][nth], block["list"][0].as_py()
+                codes, error = model.encode(unit[second], at)
+                before = np.array(block["lists"].combine_chunks().flatten()).reshape(len(ids), -1)[:, :nth]
+            step = max(1, 500_000 // len(second))
+            for k in range(0, len(first), step):
+                rows = first[k : k + step]
+                if model is None:
+                    i, j = (x.ravel() for x in np.indices((len(rows), len(second))))
+                else:
+                    i, j = model.candidates(unit[rows], at, codes, error)
+                i, j = rows[i], second[j]
+                if low == high:
+                    i, j = i[i < j], j[i < j]
+                for c in range(0, len(i), 100_000):
+                    p, q = i[c : c + 100_000], j[c : c + 100_000]
+                    near = np.einsum("ij,ij->i", scaled[p], scaled[q]) / (norm[p] * norm[q]) >= threshold
+                    near[near] = ~(before[p[near]] == before[q[near]]).any(1)  # met in an earlier quantiser
+                    p, q = p[near], q[near]
+                    np.add.at(links, p, copies[q])
+                    np.add.at(links, q, copies[p])
+                    if not len(p):
+                        continue
+                    starts = np.flatnonzero(np.append(True, p[1:] != p[:-1]))  # candidates come row by row
+                    for u, others in zip(p[starts], np.split(q, starts[1:]), strict=True):
+                        found, one = np.unique(label[others], return_index=True)
+                        new = found != label[u]
+                        if new.any():
+                            forest += [(int(ids[u]), int(ids[others[k]])) for k in one[new]]
+                            label[np.isin(label, found)] = label[u]
+        linked = np.flatnonzero(links)
+        a = np.concatenate([ids[linked], np.array([e[0] for e in forest], np.int64)])
+        b = pa.array([None] * len(linked) + [e[1] for e in forest], pa.int64())
+        n = np.concatenate([links[linked], np.zeros(len(forest), np.int64)])
+        return pa.table({"a": pa.array(a, pa.int64()), "b": b, "n": pa.array(n, pa.int64())})
 
     return run
 
 
-def links(nodes: DataFrame, threshold: float) -> DataFrame:
-    """nodes: written rows (node, copies, dim, vec), each vector once. Returns (a, b, n) as _meet() does."""
-    spark = nodes.sparkSession
-    per = {r.dim: r.n for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(16).collect()}
-    total = sum(per.values())
-    share = int(min(1.0, SAMPLE_ROWS / max(1, total)) * 1_000_000)
-    sample = nodes.where(F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < share).select("dim", "vec").toArrow()
-    models, dims = {}, np.array(sample["dim"])
+def quantisers(nodes: DataFrame, threshold: float) -> dict[int, list[Index]]:
+    """For each of the most frequent lengths, fitted on its share of the sample."""
+    per = {r.dim: r.n for r in nodes.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(LENGTHS).collect()}
+    if not per:
+        return {}
+    share = F.create_map(*(F.lit(v) for dim, n in per.items() for v in (dim, math.ceil(min(1.0, SAMPLE_ROWS / len(per) / n) * 1_000_000))))
+    drawn = F.pmod(F.xxhash64("vec"), F.lit(1_000_000)) < share[F.col("dim")]
+    sample = nodes.where(F.col("dim").isin(*per) & drawn).select("dim", "vec").toArrow()
+    dims, out = np.array(sample["dim"]), {}
     for dim, n in per.items():
         if (mine := dims == dim).any():
             x = _unit(_matrix(sample.filter(pa.array(mine))["vec"].combine_chunks()))
-            models[dim] = Index.fit(x[np.lexsort(x.T)], n, threshold)
+            out[dim] = Index.fit_all(x, n, threshold)
+    return out
+
+
+def links(nodes: DataFrame, threshold: float) -> DataFrame:
+    """nodes: written rows (node, copies, dim, vec), each vector once. Returns written rows (a, b, n) as _meet() does."""
+    spark = nodes.sparkSession
+    models = quantisers(nodes, threshold)
     indexes = spark.sparkContext.broadcast(models)
-    index = written(_indexed(nodes, indexes), "index")
-    # one row a list, of which there are at most MAX_LISTS for each of at most 16 lengths, and one for each other length
-    sizes = index.groupBy("list").agg(F.ceil(F.count("*") / ENTRY_BLOCK).cast("int").alias("e_blocks"))
-    asked = index.select(F.explode("probes").alias("list")).groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("q_blocks"))
-    plan = written(sizes.join(asked, "list"), "blocks")
-    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    entries = index.join(plan, "list").select(F.lit(True).alias("entry"), F.col("list").alias("to"), deal("e_blocks").alias("e"), every("q_blocks").alias("q"), "node", "copies", "vec", "list", "codes", "error")
-    queries = index.withColumn("to", F.explode("probes")).join(plan.withColumnRenamed("list", "to"), "to").select(F.lit(False).alias("entry"), "to", every("e_blocks").alias("e"), deal("q_blocks").alias("q"), "node", "copies", "vec", "list", F.lit(None).cast("binary").alias("codes"), F.lit(None).cast("double").alias("error"))
-    return entries.unionByName(queries).groupBy("to", "e", "q").applyInArrow(_meet(indexes, threshold), "a long, b long, n long")
-
-
-def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    index = written(_listed(nodes, indexes), "index")
+    out = None
+    for nth in range(max(map(len, models.values()), default=1)):
+        at = F.when(F.size("lists") > nth, F.get("lists", F.lit(nth)))
+        rows = index.withColumn("list", at if nth else F.coalesce(at, F.lit(-1))).where("list IS NOT NULL")
+        sizes = rows.groupBy("dim", "list").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+        part = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")
+        # a part meets itself and every other one
+        each = rows.join(sizes, ["dim", "list"]).withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        dealt = each.select("dim", "list", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "node", "copies", "vec", "lists")
+        found = dealt.groupBy("dim", "list", "low", "high").applyInArrow(_meet(indexes, threshold, nth), "a long, b long, n long")
+        part_of = written(found, f"links{nth}")
+        out = part_of if out is None else out.unionByName(part_of)
+        spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of this quantiser before the next
+    return out
+
+
+def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "vec_id", vec_col: str = "embedding", heavy: int = HEAVY) -> DataFrame:
     """Per row: the id, n_links, component_id and kept."""
     kind = "float" if vectors.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
     vec = F.transform(vectors[vec_col], lambda x: x.cast(kind) + F.lit(0.0).cast(kind))  # + 0.0: no negative zero
@@ -265,13 +271,15 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     good = rows.where("ok").groupBy("vec").agg(F.min("id").alias("low"), F.count("*").alias("copies"))
     # each distinct vector has a number of its own, fixed once written: ids may be null or shared by different vectors
     nodes = written(good.select(F.monotonically_increasing_id().alias("node"), "low", "copies", F.size("vec").alias("dim"), "vec"), "vectors")
-    found = written(links(nodes.select("node", "copies", "dim", "vec"), threshold), "links")
+    found = links(nodes.select("node", "copies", "dim", "vec"), threshold)
     counts = found.where("b IS NULL").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("n"))
     roots = components(found.where("b IS NOT NULL"))
     labelled = nodes.join(counts, "node", "left").join(roots, "node", "left").select("vec", "low", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("root", "node").alias("root"))
     least = labelled.groupBy("root").agg(F.min("low").alias("component_id"))
-    per = written(labelled.join(least, "root").select("vec", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id"), "labels")
+    per = written(labelled.join(least, "root").select("vec", "copies", (F.col("n") + F.col("copies") - 1).alias("n_links"), "component_id"), "labels")
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
-    linked = rows.where("ok").select("id", "vec").join(per, "vec").select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", kept)
+    total = nodes.agg(F.coalesce(F.sum("copies"), F.lit(0))).first()[0]
+    each = met(rows.where("ok").select("id", "vec"), per, ["vec"], "copies", total, heavy)
+    linked = each.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", kept)
     alone = rows.where("NOT ok").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(alone)

@@ -1,9 +1,10 @@
 """Quality rules as a short-circuit cascade.
 
-A rule looks at one text and says whether to reject it. On a bounded sample every rule runs on every text; its
-mean seconds are its cost and the share it rejects its selectivity. Rules then run in order of rejections per
-second, and a text leaves at its first rejection. The order decides the time only: a text is kept if no rule
-rejects it, whichever comes first.
+A rule looks at one text and says whether to reject it; what several rules read (words, code points, repeated windows,
+lines) is worked out once a text. On a sample, executors time these parts and each rule on top of them, and note which
+rules reject which text. The order is then built rule by rule: the next one is that with the most rejections among the
+texts that are left per second, at the cost of the rule and of the parts no earlier rule has paid for. A text leaves at
+its first rejection. The order decides the time only: a text is kept if no rule rejects it, whichever comes first.
 
 Defined cases: a null or empty text has no words, all its counts are 0 and it is rejected; repeated rows give
 repeated results; a null id stays null; other input columns are dropped by score() and untouched by keep(),
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 import time
 import unicodedata
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import cache
@@ -21,13 +23,14 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from folio.llm.common import WHITE
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 5
-SAMPLE_ROWS = 256
+SAMPLE_PARTS, SAMPLE_ROWS = 64, 8
 
 
 class Text:
@@ -37,14 +40,19 @@ class Text:
         self.text = text or ""
         self.raw = self.text.encode()
         self._words: list[bytes] | None = None
+        self._lines: list[bytes] | None = None
         self._repeats: int | None = None
         self._points: np.ndarray | None = None
 
     def count(self, table: np.ndarray) -> int:
         """Characters whose code point is marked in the table."""
+        return int(table[self.points].sum())
+
+    @property
+    def points(self) -> np.ndarray:
         if self._points is None:
             self._points = np.frombuffer(self.text.encode("utf-32-le"), np.uint32)
-        return int(table[self._points].sum())
+        return self._points
 
     @property
     def words(self) -> list[bytes]:
@@ -62,7 +70,9 @@ class Text:
 
     @property
     def lines(self) -> list[bytes]:
-        return [x for x in self.raw.split(b"\n") if x.strip()]
+        if self._lines is None:
+            self._lines = [x for x in self.raw.split(b"\n") if x.strip()]
+        return self._lines
 
     @property
     def dup_lines(self) -> int:
@@ -114,39 +124,84 @@ def marked(categories: str) -> np.ndarray:
     return np.fromiter((unicodedata.category(chr(i)).startswith(categories) for i in range(0x110000)), bool, 0x110000)
 
 
+#: What rules share, in the order in which one part is made from another.
+PARTS = ("words", "lines", "points", "repeat_words")
+
+
 @dataclass(frozen=True)
 class Rule:
     name: str
     rejects: Callable[[Text], bool]
+    parts: tuple[str, ...] = ()
 
 
 #: The limits are the customary ones for web text.
 BASE = (
-    Rule("few_words", lambda t: len(t.words) < 10),
-    Rule("repeated_windows", lambda t: 100 * t.repeat_words > 20 * len(t.words)),
+    Rule("few_words", lambda t: len(t.words) < 10, ("words",)),
+    Rule("repeated_windows", lambda t: 100 * t.repeat_words > 20 * len(t.words), ("words", "repeat_words")),
 )
 METHOD = (
-    Rule("symbols", lambda t: 10 * t.symbols > len(t.words)),
-    Rule("duplicate_lines", lambda t: 10 * t.dup_lines > 3 * len(t.lines)),
-    Rule("stutter", lambda t: 10 * t.stutters > 3 * len(t.words)),
-    Rule("word_length", lambda t: not 2 * len(t.words) <= t.word_chars <= 16 * len(t.words)),
-    Rule("capitals", lambda t: 2 * t.count(marked("Lu")) > max(1, t.count(marked("L")))),
-    Rule("letters", lambda t: 2 * t.count(marked("L")) < t.word_chars),
+    Rule("symbols", lambda t: 10 * t.symbols > len(t.words), ("words",)),
+    Rule("duplicate_lines", lambda t: 10 * t.dup_lines > 3 * len(t.lines), ("lines",)),
+    Rule("stutter", lambda t: 10 * t.stutters > 3 * len(t.words), ("words",)),
+    Rule("word_length", lambda t: not 2 * len(t.words) <= t.word_chars <= 16 * len(t.words), ("words",)),
+    Rule("capitals", lambda t: 2 * t.count(marked("Lu")) > max(1, t.count(marked("L"))), ("points",)),
+    Rule("letters", lambda t: 2 * t.count(marked("L")) < t.word_chars, ("points",)),
 )
 RULES = BASE + METHOD
 
 
-def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", sample: int = SAMPLE_ROWS) -> tuple[Rule, ...]:
-    """The rules by rejections per second on at most `sample` texts from the first partitions (a documented bound; the
-    verdict does not depend on it). Nothing is shared between rules here: each pays for what it reads."""
-    texts = [r[0] for r in docs.select(docs[text_col].cast("string")).take(sample)]
-    rate = []
-    for rule in rules:
-        fresh = [Text(t) for t in texts]
-        began = time.perf_counter()
-        hits = sum(map(rule.rejects, fresh))
-        rate.append((hits + 0.5) / (time.perf_counter() - began + 1e-6))
-    return tuple(rules[i] for i in sorted(range(len(rules)), key=rate.__getitem__, reverse=True)) if texts else rules
+def timed(text: str | None, rules: tuple[Rule, ...]) -> tuple[int, list[int]]:
+    """The rules that reject a text, as bits, and nanoseconds: of each part, then of each rule once its parts are there."""
+    t, took, hits = Text(text), [], 0
+    for part in PARTS:
+        began = time.perf_counter_ns()
+        getattr(t, part)
+        took.append(time.perf_counter_ns() - began)
+    for k, rule in enumerate(rules):
+        began = time.perf_counter_ns()
+        hits |= rule.rejects(t) << k
+        took.append(time.perf_counter_ns() - began)
+    return hits, took
+
+
+def arranged(measured: list[tuple[int, list[int]]], rules: tuple[Rule, ...], paid: tuple[str, ...] = ()) -> tuple[Rule, ...]:
+    """The order of the rules from what timed() has measured; paid: parts that are there for every text anyway."""
+    if not measured:
+        return rules
+    cost = [sum(c) / len(measured) for c in zip(*(took for _, took in measured), strict=True)]
+    part_cost, left, have, out = dict(zip(PARTS, cost, strict=False)), [h for h, _ in measured], set(paid), []
+    while len(out) < len(rules):
+        open_ = [k for k in range(len(rules)) if rules[k] not in out]
+        rate = {k: (sum(h >> k & 1 for h in left) + 0.5) / (cost[len(PARTS) + k] + sum(part_cost[p] for p in rules[k].parts if p not in have) + 1) for k in open_}
+        best = max(open_, key=rate.__getitem__)
+        out.append(rules[best])
+        have.update(rules[best].parts)
+        left = [h for h in left if not h >> best & 1]
+    return tuple(out)
+
+
+def ordered(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", paid: tuple[str, ...] = ()) -> tuple[Rule, ...]:
+    """Measures on the first SAMPLE_ROWS texts of about SAMPLE_PARTS partitions, drawn by a hash of their number (documented
+    bounds; the verdict does not depend on them): no pass over the table, and no text leaves its executor."""
+    every = max(1, docs.rdd.getNumPartitions() // SAMPLE_PARTS)
+
+    def run(batches):
+        if zlib.crc32(str(TaskContext.get().partitionId()).encode()) % every:
+            return
+        done = 0
+        for b in batches:
+            texts = b.column(0).slice(0, SAMPLE_ROWS - done).to_pylist()
+            done += len(texts)
+            if texts and done == len(texts):
+                timed(texts[0], rules)  # tables are made and code is warm
+            hits, took = zip(*(timed(t, rules) for t in texts), strict=True) if texts else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(hits, pa.int64()), pa.array(took, pa.list_(pa.int64()))], ["hits", "took"])
+            if done >= SAMPLE_ROWS:
+                return
+
+    found = docs.select(docs[text_col].cast("string").alias("text")).mapInArrow(run, "hits long, took array<long>").collect()
+    return arranged([(r.hits, r.took) for r in found], rules, paid)
 
 
 def passes(t: Text, rules: tuple[Rule, ...]) -> bool:
@@ -169,7 +224,7 @@ def keep(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text
 def score(docs: DataFrame, rules: tuple[Rule, ...] = METHOD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept. The
     base counts are there for every row; the cascade runs on what the base lets through."""
-    cascade = ordered(docs, rules, text_col)
+    cascade = ordered(docs, rules, text_col, ("words", "lines", "repeat_words"))
     names = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
     def run(batches):

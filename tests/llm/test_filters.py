@@ -180,12 +180,51 @@ def test_language(spark):
 def test_language_backs_off_to_shorter_grams():
     import numpy as np
 
-    t = langid.Table(["ab", "^a"], np.log(np.array([[0.9, 0.1], [0.5, 0.5]])))
-    m = langid.Model(["x", "y"], langid.Table(["word"], np.array([[0.0, -1.0]])), {2: t, 1: langid.Table(["q"], np.array([[-2.0, -1.0]]))})
+    def table(items, logs):
+        logs = np.array(logs)
+        floor = logs.min(axis=0) - 1
+        return langid.Table(items, np.arange(1, len(items) + 1) * 2, np.tile(np.arange(2), len(items)), (logs - floor).ravel(), floor)
+
+    t = table(["ab", "^a"], np.log(np.array([[0.9, 0.1], [0.5, 0.5]])))
+    m = langid.Model(["x", "y"], table(["word"], [[0.0, -1.0]]), {2: t, 1: table(["q"], [[-2.0, -1.0]])})
     assert m.predict("word")[0] == "x" and m.predict("zzabzz")[0] == "x" and m.predict("q")[0] == "y"
     assert m.backed_off("zzzz").tolist() == [0, 0]
 
 
+def test_language_scores_equal_brute_force(spark):
+    """Log frequencies counted by hand, on every document; ties, long and repeated texts, number signs, a rare language."""
+    import math
+    from collections import Counter
+
+    r = random.Random(12)
+    rows = [(i, " ".join(r.choice(LANGS[lang].split()) for _ in range(r.randint(1, 12))), lang) for i, lang in enumerate(["en"] * 150 + ["de"] * 40)]
+    rows += [(300 + k, "kia ora koutou", "mi") for k in range(6)] + [(400, "of " * 200_000 + "und", "en"), (401, "kia ora", "mi"), (402, "kia ora", "mi")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    used = [x for x in rows if fold_of(x[0]) != 0]
+    langs = sorted({x[2] for x in used})
+    count = {lang: Counter(w for _, t, x in used if x == lang for w in t.split()) for lang in langs}
+    known = sorted({w for c in count.values() for w in c if sum(d[w] for d in count.values()) >= 2})
+    per = {lang: {w: math.log(c[w] + 1) - math.log(sum(c.values()) + len(known)) for w in known} for lang, c in count.items()}
+
+    def brute(text):
+        ws = text.split()
+        total = [sum(per[lang][w] for w in ws) for lang in langs]
+        part = [math.exp((t - max(total)) * min(len(ws), langid.EVIDENCE) / len(ws)) for t in total]
+        return langs[total.index(max(total))], part[total.index(max(total))] / sum(part)
+
+    got = {g.doc_id: (g.lang_pred, g.score) for g in langid.identify(docs).collect()}
+    assert got == {i: (brute(t)[0], pytest.approx(brute(t)[1])) for i, t, _ in rows if all(w in known for w in t.split())} | {i: got[i] for i, t, _ in rows if not all(w in known for w in t.split())}
+    assert got[401] == got[402] and got[401][0] == "mi"
+    model = langid.fit(docs)
+    signs = ["\u00b2 \u00bd", "\u216b \u2460", "7\u00b2", "_ 12"]  # superscript two, one half, Roman twelve, circled one
+    assert [model.predict(t) for t in signs] == [("und", 0.0)] * 4
+    assert langid.words("x\u00b2y \u00e9t\u00e9") == ["x", "y", "\u00e9t\u00e9"]
+    tie = langid.Model(["a", "b"], model.vocabulary, {})
+    assert tie.predict("unseen")[0] == "a"  # equal scores
+    odd = spark.createDataFrame([(None, "of"), (5, None), (5, None)], "doc_id long, text string")
+    assert sorted((g.doc_id is None, g.lang_pred, g.held_out) for g in langid.predict(odd, model).collect()) == [(False, "und", False), (False, "und", False), (True, "en", True)]
+
+
 def test_toxicity(spark):
     r = random.Random(4)
     plain = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(20) for b in range(20)]
@@ -215,7 +254,58 @@ def test_toxicity(spark):
     assert 0 < one.score("anything") < 0.5 and toxicity.classify(docs.limit(0), known).count() == 0
 
 
-def test_swaps():
-    assert toxicity.swaps("A deaf man. Nothing")["deaf", "blind"] == 1 and toxicity.swaps(None) == {}
-    with pytest.raises(KeyError):
-        {}[toxicity.hash_of("x")]
+def test_swaps_change_what_the_sentence_changes():
+    """A change in score is that of the sentence scored before and after, other identity terms and repeats included."""
+    from collections import Counter
+
+    import numpy as np
+
+    names = [f for k in toxicity.KIND_OF for f in toxicity.features(k)] + ["rude", "deaf"]
+    r = np.random.default_rng(3)
+    names = list(dict.fromkeys(names))
+    m = toxicity.Model(names, r.standard_normal(len(names)), 0.3)
+    texts = ["A deaf man met a deaf, blind woman; rude men. The boy", "muslim muslims muslim christian", "no term here", None]
+    seen = 0
+    for t in texts:
+        for before, after in toxicity.swapped(t):
+            logit = lambda c: m.weights[m.present(" ".join(c.elements()))].sum()
+            change = m.change(before, after)
+            assert sum(np.sign(i) * m.weights[abs(i) - 1] for i in change) == pytest.approx(logit(after) - logit(before))
+            assert before.total() == after.total()
+            seen += 1
+    kinds = [len(k) - 1 for k in toxicity.IDENTITIES]
+    man, men, faith, faiths, deaf = kinds[0], kinds[1], kinds[2], kinds[3], kinds[7]
+    assert seen == 2 * deaf + 2 * man + men + man + 2 * faith + faiths
+    assert Counter(["man"]) == next(b for b, _ in toxicity.swapped("man"))
+
+
+def test_minimised_weights_equal_a_plain_minimiser():
+    """The gradient is that of the stated loss: no small step in any direction makes it less."""
+    import numpy as np
+
+    r = np.random.default_rng(1)
+    rows = [sorted(r.choice(6, r.integers(0, 5)).tolist()) for _ in range(40)]
+    labels = np.array([float(0 in x) for x in rows])
+    labels[:12] = 1 - labels[:12]
+    weight, changes = np.ones(40), [([1, -2], 3.0), ([2, 3, -4], 1.0)]
+    w, bias = toxicity._minimise(6, rows, labels, weight, changes, steps=3000)
+
+    def loss(w, b):
+        z = np.array([b + sum(w[i] for i in x) for x in rows])
+        fit = (weight / weight.sum() * (np.log1p(np.exp(z)) - labels * z)).sum()
+        swaps = sum(n / 4.0 * sum(np.sign(i) * w[abs(i) - 1] for i in c) ** 2 for c, n in changes)
+        return fit + toxicity.LAMBDA / 2 * (w**2).sum() + toxicity.COUNTERFACTUAL * swaps
+
+    best = loss(w, bias)
+    for _ in range(200):
+        step = r.standard_normal(7) * 0.02
+        assert loss(w + step[:6], bias + step[6]) > best - 1e-4
+
+
+def test_toxicity_odd_rows(spark):
+    docs = spark.createDataFrame([(i, f"fine words here {i % 7}" if i % 3 else "vile scum words") for i in range(90)] + [(200, "vile scum " * 150_000), (201, "vile scum words"), (201, "vile scum words")], "doc_id long, text string")
+    known = spark.createDataFrame([(i, 0 if i % 3 else 1) for i in range(90)] + [(None, 1), (7, None)], "doc_id long, toxic int")
+    got = [(g.doc_id, g.score, g.predicted) for g in toxicity.classify(docs, known).collect()]
+    assert len(got) == 93 and len({x for x in got if x[0] == 201}) == 1 and all(0 <= s <= 1 and p == int(s >= 0.5) for _, s, p in got)
+    tie = toxicity.Model([], toxicity.np.zeros(0), 0.0)
+    assert [r.predicted for r in toxicity.score(docs.limit(1), tie).collect()] == [1]  # a score of one half

@@ -6,7 +6,6 @@ import pytest
 from folio.llm import mixing, neighbours, simhash
 from folio.llm.common import written
 from folio.llm.components import components
-from folio.llm.queries import QUERIES
 
 
 def closure(n, edges):
@@ -58,7 +57,7 @@ def test_simhash_groups_equal_brute_force(spark):
     prints = np.array([simhash.fingerprint(t) for t in texts], np.uint64)
     edges = [(i, j) for i in range(len(texts)) for j in range(i) if int(prints[i] ^ prints[j]).bit_count() <= 3]
     want = closure(len(texts), edges)
-    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs).collect()}
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(docs, heavy=50).collect()}
     assert got == {3 * i + 1: (f"{int(prints[i]):016x}", 3 * want[i] + 1) for i in range(len(texts))}
     assert prints[0] == prints[1] == prints[2] == 0 and prints[3] == prints[4] and prints[6] == prints[7]
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
@@ -81,8 +80,25 @@ def test_signatures_lose_no_pair_at_any_distance(spark):
     df = spark.createDataFrame([(i, x) for i, x in enumerate(signed)], "doc_id long, fp long")
     for limit in (0, 1, 3):
         want = closure(len(fps), [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= limit])
-        got = {r.fp: r.component_id for r in simhash.groups(written(df, "t"), limit).collect()}
-        assert [got[x] for x in signed] == want
+        for hot in (simhash.HOT, 4):  # 4: nearly every signature is dealt again
+            got = {r.fp: r.component_id for r in simhash.groups(written(df, "t"), limit, hot=hot).collect()}
+            assert [got[x] for x in signed] == want
+
+
+def test_hot_signatures_are_dealt_again(spark, monkeypatch):
+    """Members of one signature over several batches, in a group of one task, mostly without links."""
+    r = random.Random(5)
+    fps = sorted({(0xABCDEF01 << 32) | r.getrandbits(32) for _ in range(3000)} | {(0xABCDEF01 << 32) | 7 ^ (1 << k) for k in range(32)})
+    u = np.array(fps, np.uint64)
+    edges = [(int(i), j) for j in range(len(u)) for i in np.flatnonzero(np.bitwise_count(u[:j] ^ u[j]) <= 3)]
+    signed = u.view(np.int64).tolist()
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(signed)], "doc_id long, fp long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 500)
+    try:
+        got = {r.fp: r.component_id for r in simhash.groups(written(df, "t"), hot=200).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert [got[x] for x in signed] == closure(len(fps), edges)
 
 
 def test_null_ids(spark):
@@ -104,10 +120,10 @@ def cosine_links(rows, threshold=0.9):
     return edges
 
 
-@pytest.mark.parametrize("blocks", [(2048, 4096), (16, 32)])
-def test_neighbours_equal_brute_force(spark, blocks, monkeypatch):
-    monkeypatch.setattr(neighbours, "ENTRY_BLOCK", blocks[0])
-    monkeypatch.setattr(neighbours, "QUERY_BLOCK", blocks[1])
+@pytest.mark.parametrize(("block", "list_rows", "heavy"), [(2048, 1024, 10_000), (16, 1024, 2), (64, 16, 2)])
+def test_neighbours_equal_brute_force(spark, block, list_rows, heavy, monkeypatch):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "LIST_ROWS", list_rows)
     r = np.random.default_rng(3)
     vectors = []
     for k in range(60):
@@ -121,7 +137,7 @@ def test_neighbours_equal_brute_force(spark, blocks, monkeypatch):
     edges = cosine_links(rows)
     want = closure(len(rows), edges)
     degree = np.bincount(np.array(edges).ravel(), minlength=len(rows))
-    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in neighbours.near_duplicates(df).collect()}
+    got = {x.vec_id: (x.n_links, x.component_id, x.kept) for x in neighbours.near_duplicates(df, heavy=heavy).collect()}
     exact = sum(got[2 * i + 1] == (int(degree[i]), 2 * want[i] + 1, want[i] == i) for i in range(len(rows)))
     links = sum(v[0] for v in got.values())
     assert links <= degree.sum() and links >= 0.99 * degree.sum() and exact >= 0.97 * len(rows)
@@ -151,15 +167,79 @@ def test_targets():
         assert all(g <= 3 * s + 1e-6 for g, s in zip(goal, sizes, strict=True)) and sum(goal) == pytest.approx(sum(sizes))
 
 
-def test_landing_meets_the_totals():
+def test_planted_pairs_of_twenty_thousand_vectors(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LIST_ROWS", 256)  # some 80 lists in each quantiser
+    r = np.random.default_rng(8)
+    x = r.standard_normal((16_000, 32))
+    x = np.concatenate([x, x[:4000] + r.uniform(0.05, 0.5, (4000, 1)) * r.standard_normal((4000, 32))]).astype(np.float32)
+    unit = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = sum(int((unit[i : i + 1000] @ unit.T >= 0.9).sum()) for i in range(0, len(unit), 1000)) - len(unit)
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "vec_id long, embedding array<float>")
+    got = sum(q.n_links for q in neighbours.near_duplicates(df).collect())
+    assert 6000 < want and 0.99 * want <= got <= want
+
+
+def test_lengths_without_quantiser_are_compared_exactly(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "LENGTHS", 1)
+    df = spark.createDataFrame([(i, [1.0, i / 1000.0]) for i in range(50)] + [(100 + i, [1.0, 0.0, i / 1000.0]) for i in range(40)], "vec_id long, embedding array<double>")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in neighbours.near_duplicates(df).collect()}
+    assert got == {i: (49, 0) for i in range(50)} | {100 + i: (39, 100) for i in range(40)}
+
+
+def test_landing_keeps_probabilities_and_nears_the_totals():
     r = random.Random(3)
-    for _ in range(30):
-        sizes = [float(r.randint(1, 900)) for _ in range(14)]
-        p = [r.uniform(0.05, 0.95) for _ in sizes]
-        out = mixing.landing(p, sizes)
-        assert set(out) <= {0.0, 1.0} and abs(sum(out) - sum(p)) <= 1
-        assert abs(sum(a * b for a, b in zip(out, sizes, strict=True)) - sum(a * b for a, b in zip(p, sizes, strict=True))) < 5
-    assert mixing.landing([], []) == [] and mixing.landing([1.0, 0.0], [3.0, 4.0]) == [1.0, 0.0]
+    off, alone = [], []
+    for _ in range(8):
+        sizes = [float(r.randint(1, 900)) for _ in range(10)]
+        p = [r.choice((0.25, r.uniform(0.05, 0.95))) for _ in sizes]
+        total = sum(a * b for a, b in zip(p, sizes, strict=True))
+        drawn = [mixing.landing(p, sizes, seed) for seed in range(400)]
+        assert all(set(x) <= {0.0, 1.0} and abs(sum(x) - sum(p)) < 1 for x in drawn)
+        share = np.mean(drawn, axis=0)
+        assert all(abs(a - b) < 4.5 * (b * (1 - b) / 400) ** 0.5 for a, b in zip(share, p, strict=True))
+        off += [abs(sum(a * b for a, b in zip(x, sizes, strict=True)) - total) for x in drawn]
+        alone += [abs(sum(s for s, q in zip(sizes, p, strict=True) if r.random() < q) - total) for _ in range(400)]
+    assert np.mean(off) < 0.1 * np.mean(alone)
+    assert mixing.landing([], [], 1) == [] and mixing.landing([1.0, 0.0], [3.0, 4.0], 1) == [1.0, 0.0]
+
+
+def test_landing_finds_the_best_distribution():
+    """Against all choices by hand: of 2 units with p 1/2 each and sizes 5 and 7, one of the two is always taken."""
+    drawn = {tuple(mixing.landing([0.5, 0.5], [5.0, 7.0], s)) for s in range(100)}
+    assert drawn == {(0.0, 1.0), (1.0, 0.0)}
+
+
+def test_inclusion_probabilities_over_seeds():
+    r = random.Random(4)
+    sizes = [float(r.choice((1, 5, 40, 300, 4000))) for _ in range(60)]
+    p = [0.37] * 60
+    drawn = [mixing.landing(mixing.flight(p, sizes, s), sizes, s) for s in range(300)]
+    share = np.mean(drawn, axis=0)
+    assert np.abs(share - 0.37).max() < 4.5 * (0.37 * 0.63 / 300) ** 0.5
+
+
+def test_equal_rows_are_spread_over_blocks(spark):
+    """A hundred thousand rows alike, without id: none of their blocks is larger than BLOCK."""
+    units = mixing.written(spark.createDataFrame([(None, 0, "sa", 7, 100_000), (1, 0, "sa", 9, 1), (2, 0, "n", 9, 1)], "id long, tag long, key string, size long, copies long"), "units")
+    plan = mixing.written(mixing.sources(units), "plan")
+    rows = mixing._blocks(units, plan, 100_002, mixing.BLOCK)
+    per = [x.n for x in rows.groupBy("src", "block").agg(mixing.F.sum("copies").alias("n")).collect()]
+    assert sum(per) == 100_002 and max(per) <= mixing.BLOCK
+    same = spark.createDataFrame([(None, "w w w", "a")] * 5000 + [(k, "w " * (k % 9), "b") for k in range(50)], "doc_id long, text string, source string")
+    got = mixing.mix(same).groupBy("source_size").agg(mixing.F.sum("taken"), mixing.F.max("target"), mixing.F.count("*")).collect()
+    assert sorted(x[3] for x in got) == [50, 5000] and all(abs(x[1] - x[2]) <= 10 for x in got)
+    out = mixing.resample(same)
+    assert abs(out.count() * 3 - sum(x[2] for x in got)) < 300
+
+
+def test_sources_as_a_table(spark):
+    r = random.Random(7)
+    size = {f"s{k:03d}": r.choice((0, 3, 50, 1000, 20_000)) for k in range(80)} | {"n": 77, "sé": 10, "sZ": 5}
+    units = mixing.written(spark.createDataFrame([(k, 0, key, n, 1) for k, (key, n) in enumerate(size.items())], "id long, tag long, key string, size long, copies long"), "units")
+    got = {x.key: (x.src, x.target) for x in mixing.sources(units).collect()}
+    order = sorted(size, key=lambda k: (k == "n", k.encode()))
+    goal = mixing.targets([size[k] for k in order])
+    assert {k: (i, pytest.approx(g)) for i, (k, g) in enumerate(zip(order, goal, strict=True))} == got
 
 
 def test_flight_keeps_both_totals():
@@ -197,10 +277,11 @@ def test_mix(spark, block):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
-def test_resample_repeats_whole_rows(spark):
+@pytest.mark.parametrize("heavy", [10_000, 1])
+def test_resample_repeats_whole_rows(spark, heavy):
     rows = [(i, f"text number {i} " * (1 + i % 5), "abc"[i % 3], i) for i in range(120)] + [(7, "same text", "a", 1), (7, "same text", "a", 2), (None, "no id", "b", 3), (500, None, "a", 4)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long")
-    out = mixing.resample(docs)
+    out = mixing.resample(docs, heavy=heavy)
     assert out.columns == docs.columns
     got = {}
     for r in out.collect():
@@ -212,10 +293,6 @@ def test_resample_repeats_whole_rows(spark):
     mine = {}
     for row, n in got.items():
         mine[row[0]] = mine.get(row[0], 0) + n * len(row[1].split())
-    # the same mix up to the tags that tell rows apart
+    # the same mix up to the keys that tell rows apart
     assert abs(sum(mine.values()) - sum(taken.values())) <= 60
     assert mixing.resample(docs.limit(0)).count() == 0
-
-
-def test_all_eleven_are_registered():
-    assert [n.split("_")[0] for n in QUERIES] == [f"op{k}" for k in range(1, 11)]

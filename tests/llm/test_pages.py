@@ -96,3 +96,70 @@ def test_operator(spark, trees):
     assert len(got) == 4 and all(r.n_chars == len(r.text) for r in got)
     assert [r.text for r in got if r.page_id == 1][0] == [r.text for r in got if r.page_id == 1][1] and {r.text for r in got if r.page_id != 1} == {""}
     assert H.main_text(df.limit(0)).count() == 0
+
+
+def test_references_end_with_their_piece_of_text(trees):
+    assert htmltext.extract(["<article><p>AT&am<b>p;T</b> and A&amp;B &lt<i>;</i> stay as they are in this paragraph.</p></article>"], trees) == ["AT&amp;T and A&B <; stay as they are in this paragraph."]
+
+
+@pytest.mark.parametrize("page", [lambda n: "<span>" * n + "<li>x" * n, lambda n: "<b><div>" * n + "</b>" * n, lambda n: "<table><tr><td>" * n, lambda n: "<p><b>" * n, lambda n: "<ul><li>" * n + "<li>" * n])
+def test_open_elements_take_linear_time(page):
+    import time
+
+    took = []
+    for n in (15_000, 60_000):
+        text, began = page(n), time.process_time()
+        htmltext.parse(text, 0, htmltext.Nodes())
+        took.append(time.process_time() - began)
+    assert took[1] < 10 * took[0] + 0.5
+
+
+def test_boosting_equals_a_plain_learner_of_one_split():
+    """One tree of depth 1 on all rows: the split with the best gain among all by hand, and its Newton steps."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x = r.integers(0, 8, (300, 4)).astype(np.float32)
+    y = np.clip((x[:, 2] > 4) * 0.9 + r.random(300) * 0.1, 0, 1)
+    got = htmltext.boost(x, y, np.ones(300), rounds=1, depth=1, rate=1.0, share=1.1)
+    p = y.mean()
+    g, h = y - p, np.full(300, p * (1 - p))
+    score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
+    gain, j, cut = max((score(x[:, j] <= c) + score(x[:, j] > c), -j, -c) for j in range(4) for c in range(7))
+    assert got.feature[0][0] == -j == 2 and -cut <= got.threshold[0][0] < -cut + 1
+    low = x[:, 2] <= -cut
+    assert got.leaf[0] == pytest.approx([g[m].sum() / (h[m].sum() + 1) for m in (low, ~low)])
+
+
+def test_decoding_equals_brute_force():
+    """The likeliest of all ways to cut a small tree."""
+    import itertools
+
+    import numpy as np
+
+    r = np.random.default_rng(6)
+    for _ in range(60):
+        n = htmltext.Nodes()
+        text = "".join(r.choice(["<div>a b c", "<p>dd", "</div>", "<ul><li>e", "</ul>", "fff gg "], 7))
+        htmltext.parse(text, 0, n)
+        size = len(n.parent)
+        if size > 7 or size == 1 or not n.runs:
+            continue
+        p = np.clip(r.random(size), 1e-4, 1 - 1e-4)
+        own = np.zeros(size)
+        for node, run in n.runs:
+            own[node] += np.log1p(len(run))
+        inside = [range(i, n.end[i]) for i in range(size)]
+        log = lambda i, side: np.log(p[i] if side else 1 - p[i])
+
+        def total(cuts, sides):
+            out = 0.0
+            for i in range(size):
+                top = next((c for c in range(size) if c in cuts and i in inside[c]), None)
+                out += own[i] * (log(i, sides[i]) if top is None else (log(i, sides[top]) + log(top, sides[top])) / 2)
+            return out
+
+        best = max(total(c, s) for k in range(size) for c in itertools.combinations(range(1, size), k) for s in itertools.product((False, True), repeat=size))
+        keep = htmltext.decode(n, p)
+        options = [c for k in range(size) for c in itertools.combinations(range(1, size), k) if all(len({keep[i] for i in inside[x]}) == 1 for x in c)]
+        assert max(total(c, keep) for c in options) == pytest.approx(best)
