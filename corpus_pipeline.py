@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.llm import bpe, mixing, quality, secrets, simhash
-from folio.llm.common import table, written
+from folio.llm.common import row_hash, table, written
 from folio.llm.queries import vocabulary
 from folio.sources.tables import spread
 
@@ -23,14 +23,11 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group one row stays: that with the smallest id, rows without one last; among rows that repeat this id,
     that with the smallest hash of the whole row. Rows that are equal throughout count as one."""
-    # text and id first: rows that differ in them have different hashes, whatever is null
-    values = [F.coalesce("text", F.lit("")), F.col("doc_id").isNull(), F.col("doc_id"), *(F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text"))]
-    keyed = docs.withColumn("row_a", F.xxhash64(*values)).withColumn("row_b", F.xxhash64(F.lit(1), *values))
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_a", "row_b").alias("row")
-    prints = written(simhash.fingerprints(keyed.select(row, "text"), "row"), "prints")
+    keyed = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("doc"), row_hash(docs, 1).alias("row_a"), row_hash(docs, 2).alias("row_b"))
+    row = F.struct(F.col("doc.doc_id").isNull().alias("no_id"), "doc.doc_id", "row_a", "row_b").alias("row")
+    prints = written(simhash.fingerprints(keyed.select(row, F.col("doc.text").alias("text")), "row"), "prints")
     stays = simhash.groups(prints, id_col="row").select("component_id.row_a", "component_id.row_b").distinct()
-    kept = keyed.join(stays, ["row_a", "row_b"], "left_semi").dropDuplicates(["row_a", "row_b"])
-    return kept.select(*(F.col(f"`{c}`") for c in docs.columns))
+    return keyed.join(stays, ["row_a", "row_b"], "left_semi").dropDuplicates(["row_a", "row_b"]).select("doc.*")
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
