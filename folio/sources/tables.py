@@ -22,7 +22,7 @@ def spread(df: DataFrame) -> DataFrame:
     (one small file with one row group can't be split) is dealt out to all of them. Any larger table is left as it is
     read, so that no more than this bound is ever moved."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    small = df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().longValue() <= SPREAD_BYTES
+    small = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SPREAD_BYTES
     return df.repartition(cores) if small and df.rdd.getNumPartitions() < cores else df
 
 
