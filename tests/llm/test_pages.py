@@ -99,7 +99,7 @@ def test_operator(spark, trees):
 
 
 def test_references_end_with_their_piece_of_text(trees):
-    assert htmltext.extract(["<article><p>AT&am<b>p;T</b> and A&amp;B &lt<i>;</i> stay as they are in this paragraph.</p></article>"], trees) == ["AT&amp;T and A&B <; stay as they are in this paragraph."]
+    assert H.extract(["<article><p>AT&am<b>p;T</b> and A&amp;B &lt<i>;</i> stay as they are in this paragraph.</p></article>"], trees) == ["AT&amp;T and A&B <; stay as they are in this paragraph."]
 
 
 @pytest.mark.parametrize("page", [lambda n: "<span>" * n + "<li>x" * n, lambda n: "<b><div>" * n + "</b>" * n, lambda n: "<table><tr><td>" * n, lambda n: "<p><b>" * n, lambda n: "<ul><li>" * n + "<li>" * n])
@@ -109,7 +109,7 @@ def test_open_elements_take_linear_time(page):
     took = []
     for n in (15_000, 60_000):
         text, began = page(n), time.process_time()
-        htmltext.parse(text, 0, htmltext.Nodes())
+        H.parse(text, 0, H.Nodes())
         took.append(time.process_time() - began)
     assert took[1] < 10 * took[0] + 0.5
 
@@ -121,7 +121,7 @@ def test_boosting_equals_a_plain_learner_of_one_split():
     r = np.random.default_rng(2)
     x = r.integers(0, 8, (300, 4)).astype(np.float32)
     y = np.clip((x[:, 2] > 4) * 0.9 + r.random(300) * 0.1, 0, 1)
-    got = htmltext.boost(x, y, np.ones(300), rounds=1, depth=1, rate=1.0, share=1.1)
+    got = H.boost(x, y, np.ones(300), rounds=1, depth=1, rate=1.0, share=1.1)
     p = y.mean()
     g, h = y - p, np.full(300, p * (1 - p))
     score = lambda m: g[m].sum() ** 2 / (h[m].sum() + 1)
@@ -139,9 +139,9 @@ def test_decoding_equals_brute_force():
 
     r = np.random.default_rng(6)
     for _ in range(60):
-        n = htmltext.Nodes()
+        n = H.Nodes()
         text = "".join(r.choice(["<div>a b c", "<p>dd", "</div>", "<ul><li>e", "</ul>", "fff gg "], 7))
-        htmltext.parse(text, 0, n)
+        H.parse(text, 0, n)
         size = len(n.parent)
         if size > 7 or size == 1 or not n.runs:
             continue
@@ -160,6 +160,6 @@ def test_decoding_equals_brute_force():
             return out
 
         best = max(total(c, s) for k in range(size) for c in itertools.combinations(range(1, size), k) for s in itertools.product((False, True), repeat=size))
-        keep = htmltext.decode(n, p)
+        keep = H.decode(n, p)
         options = [c for k in range(size) for c in itertools.combinations(range(1, size), k) if all(len({keep[i] for i in inside[x]}) == 1 for x in c)]
         assert max(total(c, keep) for c in options) == pytest.approx(best)
