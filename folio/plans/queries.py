@@ -620,6 +620,29 @@ def sections_to_chapters(spark, sf_dir):
 EDGES = "w AS (SELECT doc_pk, page, list_transform(list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(lower(x), '[0-9]+', '#', 'g')) AS w FROM turns), cut AS (SELECT doc_pk, page, k::INT AS k, array_to_string(w[1:k], ' ') AS key FROM w, range(1, 15) t(k) WHERE len(w) >= k + 4), cnt AS (SELECT doc_pk, k, key, count(*) AS n, min(page) AS first_page FROM cut GROUP BY 1, 2, 3), need AS (SELECT doc_pk, greatest(3, ceil(count(*) * 0.3)) AS need, count(*) AS of FROM turns GROUP BY 1), fit AS (SELECT doc_pk, k, key, n, first_page, row_number() OVER (PARTITION BY doc_pk, k ORDER BY n DESC, first_page) AS nth FROM cnt JOIN need USING (doc_pk) WHERE of >= 3 AND n >= need AND (k > 1 OR regexp_full_match(key, '[#ivxlc]+')))"
 
 
+def strip_sql(pages: str) -> str:
+    """Common tables strip0 to strip8 and stripped: four rounds from the start of the pages of `pages` and four from their
+    end, each taking off the key that running_header finds. A round that finds none changes nothing, and so do the rest."""
+    norm = "list_transform(w, lambda x: regexp_replace(lower(x), '[0-9]+', '#', 'g'))"
+    out = [
+        f"size0 AS (SELECT doc_pk, greatest(3, ceil(count(*) * 0.3)) AS need, count(*) AS n FROM {pages} GROUP BY 1)",
+        f"strip0 AS MATERIALIZED (SELECT doc_pk, page, text, list_filter(regexp_split_to_array(text, '\\s+'), lambda x: x <> '') AS w FROM {pages})",
+    ]
+    for i in range(1, 9):
+        edge = "m[1:k]" if i <= 4 else "m[len(m) - k + 1:len(m)]"
+        rest = "w[k + 1:len(w)]" if i <= 4 else "w[1:len(w) - k]"
+        out += [
+            f"key{i} AS MATERIALIZED (SELECT doc_pk, arg_max(key, k) AS key, max(k) AS k FROM (SELECT *, max(n) OVER (PARTITION BY doc_pk) AS best FROM (SELECT doc_pk, k, key, c AS n, row_number() OVER (PARTITION BY doc_pk, k ORDER BY c DESC, p) AS nth FROM (SELECT doc_pk, k, array_to_string({edge}, ' ') AS key, count(*) AS c, min(page) AS p FROM (SELECT doc_pk, page, {norm} AS m FROM strip{i - 1}), range(1, 15) t(k) WHERE len(m) >= k + 4 GROUP BY 1, 2, 3) JOIN size0 USING (doc_pk) WHERE size0.n >= 3 AND c >= need AND (k > 1 OR regexp_full_match(key, '[#ivxlc]+'))) WHERE nth = 1) WHERE n >= best * 0.8 GROUP BY 1)",
+            f"strip{i} AS MATERIALIZED (SELECT doc_pk, page, text, CASE WHEN key IS NOT NULL AND len(w) >= k AND array_to_string({edge}, ' ') = key THEN {rest} ELSE w END AS w FROM (SELECT *, {norm} AS m FROM strip{i - 1}) LEFT JOIN key{i} USING (doc_pk))",
+        ]
+    keys = " UNION ALL ".join(f"SELECT doc_pk, {i} AS i, '{'header' if i <= 4 else 'footer'}: ' || key AS r FROM key{i}" for i in range(1, 9))
+    out += [
+        f"gone AS (SELECT doc_pk, string_agg(r, '|' ORDER BY i) AS removed FROM ({keys}) GROUP BY 1)",
+        "stripped AS MATERIALIZED (SELECT doc_pk, page, text, CASE WHEN removed IS NULL THEN text ELSE array_to_string(w, ' ') END AS stripped, coalesce(removed, '') AS removed FROM strip8 LEFT JOIN gone USING (doc_pk))",
+    ]
+    return ", ".join(out)
+
+
 def _headed(spark, sf_dir):
     """Turns with a running header."""
     p = tables.conversation_pages(spark, sf_dir)
@@ -639,7 +662,7 @@ def running_header(spark, sf_dir):
     return clean.running_key(clean.running_candidates(_headed(spark, sf_dir)))
 
 
-@query()
+@query(f"WITH {HEADED}, {strip_sql('turns')} SELECT doc_pk, page, stripped, removed FROM stripped")
 def strip_running_lines(spark, sf_dir):
     return clean.stripped_pages(_headed(spark, sf_dir)).select("doc_pk", "page", "stripped", F.array_join("removed", "|").alias("removed"))
 
@@ -666,7 +689,10 @@ def page_routing(spark, sf_dir):
     return clean.routed(pages).select("doc_pk", "page", "route")
 
 
-@query()
+ROUTED = rf"routed AS MATERIALIZED (SELECT doc_pk, page, text, stripped, CASE WHEN page <= greatest(20, ceil(n * 0.15)) AND (dots >= 5 OR (len(ls) >= 6 AND numbered / len(ls) >= 0.6) OR (regexp_matches(text, '(?i)^\s*(?:inhaltsverzeichnis|inhalt|table of contents|contents|sommaire)\b') AND (dots >= 2 OR numbered >= 4))) THEN 'toc' WHEN len(regexp_extract_all(stripped, '\S+')) < 8 THEN 'empty' ELSE 'kept' END AS route FROM (SELECT *, {TOC_SQL} AS dots, len(list_filter(ls, lambda x: regexp_matches(x, '\p{{L}}{{3}}.*\s[0-9]{{1,4}}$'))) AS numbered FROM (SELECT *, count(*) OVER (PARTITION BY doc_pk) AS n, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM stripped)))"
+
+
+@query(with_("lines") + f", {strip_sql('lines')}, {ROUTED} SELECT doc_pk, page, route, stripped FROM routed")
 def clean_pages(spark, sf_dir):
     return clean.clean_pages(tables.line_pages(spark, sf_dir)).select("doc_pk", "page", "route", "stripped")
 
@@ -676,7 +702,15 @@ def _per_row(spark, sf_dir, run, schema):
     return tables.table(spark, sf_dir, "documents").select("doc_id", "text").mapInPandas(run, schema)
 
 
-@query()
+ENTRY_SQL = r"'(?i)([^\n.…]{3,120}?)\s*(?:(?:\.\s?){2,}|…+)\s*([0-9]{1,4}|[ivxlc]{1,6})\b'"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, replace(text, '. ', ' ..... ' || (doc_id % 999) || chr(10)) AS text FROM documents),
+e AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS i, unnest(a) AS title, unnest(b) AS label FROM (SELECT doc_id, regexp_extract_all(text, {ENTRY_SQL}, 1) AS a, regexp_extract_all(text, {ENTRY_SQL}, 2) AS b FROM t)),
+led AS (SELECT * FROM (SELECT doc_id, i, regexp_replace(regexp_replace(title, '^\s*[0-9]{{1,4}}(\s+[0-9])', '\1'), '^\s+|\s+$', '', 'g') AS title, label FROM e) WHERE length(title) >= 3),
+ln AS (SELECT doc_id, i, regexp_extract(x, '^(.{{3,100}}?)\s+([0-9]{{1,4}})$', ['title', 'label']) AS m FROM (SELECT doc_id, unnest(range(1, len(x) + 1)) AS i, unnest(list_transform(x, lambda l: regexp_replace(l, '^\s+|\s+$', '', 'g'))) AS x FROM (SELECT doc_id, string_split(text, chr(10)) AS x FROM t)) WHERE doc_id NOT IN (SELECT doc_id FROM led)),
+both_ AS (SELECT * FROM led UNION ALL SELECT doc_id, i, regexp_replace(m.title, '^\s+|\s+$', '', 'g'), m.label FROM ln WHERE regexp_matches(m.title, '\p{{L}}{{3}}'))
+SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1)::INT AS nth, title, label FROM both_""")
 def toc_entries(spark, sf_dir):
     def run(frames):
         for pdf in frames:
@@ -686,7 +720,16 @@ def toc_entries(spark, sf_dir):
     return _per_row(spark, sf_dir, run, "doc_id long, nth int, title string, label string")
 
 
-@query()
+HEADS = r"(?:Kapitel|Chapter|Teil|Part|Abschnitt|Section)\s+[0-9IVXLC]+\b"
+STARTERS_SQL = "[" + ",".join(f"'{w}'" for w in sorted(outline.SENTENCE_STARTERS)) + "]"
+
+
+@query(rf"""WITH t AS (SELECT doc_id, CASE WHEN doc_id % 2 = 1 THEN 'Chapter ' || (doc_id % 90) || ': ' ELSE '' END || text AS text FROM documents),
+r AS (SELECT doc_id, text, list_filter(list_transform(string_split(text, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM t),
+l AS (SELECT doc_id, left(regexp_replace(text, '^\s+|\s+$', '', 'g'), 120) AS start, CASE WHEN len(ls) > 1 THEN list_filter(ls[1:3], lambda x: length(x) <= 80 AND regexp_matches(x, '^(?:{HEADS}.*|[0-9]{{1,2}}(?:\.[0-9]{{1,2}})?\.?\s+\p{{Lu}}(?:\p{{L}}|[- ,:]){{2,60}})$'))[1] END AS line FROM r),
+m AS (SELECT doc_id, line, CASE WHEN a <> '' THEN a ELSE b END AS m FROM (SELECT *, regexp_extract(start, '^{HEADS}[:.]?(?:\s+\p{{Lu}}(?:\p{{L}}|-)*){{1,4}}') AS a, regexp_extract(start, '^[0-9]{{1,2}}(?:\.[0-9]{{1,2}})?\.?\s+\p{{Lu}}(?:\p{{L}}|-)+(?:\s+\p{{Ll}}{{0,3}}\s*\p{{Lu}}(?:\p{{L}}|-)+)?') AS b FROM l)),
+w AS (SELECT *, regexp_split_to_array(m, '\s+') AS w, CASE WHEN regexp_matches(m, '^[0-9]') THEN 1 ELSE 2 END AS title FROM m)
+SELECT doc_id, coalesce(line, CASE WHEN m <> '' THEN array_to_string(w[1:least(coalesce(list_filter(range(title + 1, len(w)), lambda i: list_contains({STARTERS_SQL}, lower(w[i + 1])))[1], len(w)), title + 4)], ' ') END) AS heading FROM w""")
 def detect_headings(spark, sf_dir):
     def run(frames):
         for pdf in frames:
@@ -696,7 +739,11 @@ def detect_headings(spark, sf_dir):
     return _per_row(spark, sf_dir, run, "doc_id long, heading string")
 
 
-@query()
+@query(r"""WITH t AS (SELECT doc_id, text, length(text) AS size, regexp_extract_all(array_to_string(regexp_extract_all(text, '\S+')[41:44], ' '), '[\p{L}\p{N}]+') AS tt, regexp_extract_all(text, '[\p{L}\p{N}]+') AS w, regexp_split_to_array(text, '[\p{L}\p{N}]+') AS gaps FROM documents),
+n AS (SELECT doc_id, text, size, list_transform(tt, lambda x: lower(x)) AS tt, list_transform(w, lambda x: lower(x)) AS lw, w, gaps FROM t WHERE length(array_to_string(tt, ' ')) >= 4),
+p AS (SELECT doc_id, i, (sum(g + l) OVER (PARTITION BY doc_id ORDER BY i) - l)::BIGINT AS pos FROM (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, length(unnest(w)) AS l, length(unnest(gaps[1:len(w)])) AS g FROM n)),
+h AS (SELECT n.doc_id, pos, abs(pos - 0.5::DOUBLE * size) / size + CASE WHEN pos = 0 OR regexp_matches(substr(text, greatest(0, pos - 3) + 1, pos - greatest(0, pos - 3)), '[.!?:;…"''»”)\]]\s*$') THEN 0::DOUBLE ELSE 0.5::DOUBLE END AS cost FROM n JOIN p USING (doc_id) WHERE lw[i:i + len(tt) - 1] = tt)
+SELECT doc_id, (SELECT arg_min(pos, (cost, pos)) FROM h WHERE h.doc_id = d.doc_id)::BIGINT AS char FROM documents d""")
 def find_headings(spark, sf_dir):
     def run(frames):
         for pdf in frames:
@@ -709,13 +756,27 @@ def find_headings(spark, sf_dir):
 # ---- windows and duplicates
 
 
-@query()
+#: Windows of whole documents, edges moved to sentence ends: the words of kept pages with their places, then one row a
+#: window. Holds for outlines of page blocks, which have no chapter starts; the pages of this query give no others (no line
+#: of the tables is a heading or a contents page, see document_outlines, whose rows would differ if one were).
+NEAREST = "coalesce(list_filter(list_transform(range(0, 41), lambda j: {0} + ({1}) * CASE WHEN j % 2 = 1 THEN (j + 1) // 2 ELSE -(j // 2) END), lambda c: c BETWEEN {2} AND {3} AND (c = {4} OR e[c]))[1], {0})"
+STOP = "CASE WHEN {0} + 200 < n THEN " + NEAREST.replace("{0}", "({0} + 200)").format("{0}", 1, "least(n, {0} + 100)", "n", "n") + " ELSE n END"
+CUT = r"""kp AS (SELECT doc_pk, page, stripped AS text, coalesce(sum(length(stripped) + 2) OVER (PARTITION BY doc_pk ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS base FROM routed WHERE route = 'kept'),
+wd AS (SELECT doc_pk, page, i, w, l, (sum(g + l) OVER (PARTITION BY doc_pk, page ORDER BY i) - l + base)::BIGINT AS a FROM (SELECT doc_pk, page, base, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS w, length(unnest(ws)) AS l, length(unnest(gaps[1:len(ws)])) AS g FROM (SELECT doc_pk, page, base, regexp_extract_all(text, '\S+') AS ws, regexp_split_to_array(text, '\S+') AS gaps FROM kp))),
+ls AS (SELECT doc_pk, list(w ORDER BY page, i) AS w, list(a ORDER BY page, i) AS a, list(a + l ORDER BY page, i) AS b, list(page ORDER BY page, i) AS p, list(regexp_matches(w, '[.!?…:;]["''»«“”)\]]*$') ORDER BY page, i) AS e, count(*) AS n FROM wd GROUP BY 1),
+cut AS (SELECT doc_pk, n, e, 0 AS idx, 0::BIGINT AS x, {first} AS y FROM ls
+ UNION ALL SELECT doc_pk, n, e, idx + 1, x, {next} FROM (SELECT doc_pk, n, e, idx, {start} AS x FROM cut WHERE y < n))""".format(
+    first=STOP.format("0"), next=STOP.format("x"), start=NEAREST.format("least(x + 120, least(y, n - 1))", -1, "x + 1", "least(y, n - 1)", 0)
+)
+
+
+@query("WITH RECURSIVE " + WITH["lines"] + f", {strip_sql('lines')}, {ROUTED}, {CUT} SELECT doc_pk, idx::INT AS idx, p[x + 1]::INT AS page_start, p[y]::INT AS page_end, a[x + 1]::INT AS char_start, b[y]::INT AS char_end, '' AS chapter, array_to_string(w[x + 1:y], ' ') AS text FROM cut JOIN ls USING (doc_pk)")
 def prepare_windows(spark, sf_dir):
     routed = written(clean.clean_pages(tables.line_pages(spark, sf_dir)), "routed")
     return prepare.windows(routed)
 
 
-@query()
+@query(with_("lines") + "SELECT doc_pk, i::VARCHAR AS node_id, '' AS parent_id, 'Pages ' || (i * 20 + 1) || '–' || least(n, i * 20 + 20) AS title, (i * 20 + 1)::INT AS page_start, least(n, i * 20 + 20)::INT AS page_end, 0 AS depth, 'blocks' AS source, NULL::INT AS char_start, NULL::VARCHAR AS how FROM (SELECT doc_pk, unnest(range(0, (count(*) + 19) // 20)) AS i, count(*) AS n FROM lines GROUP BY 1)")
 def document_outlines(spark, sf_dir):
     routed = written(clean.clean_pages(tables.line_pages(spark, sf_dir)), "routed")
     return prepare.outlines(routed)
@@ -748,7 +809,11 @@ def middle_probes(spark, sf_dir):
     return prepare.probes(tables.line_pages(spark, sf_dir).withColumnRenamed("page", "idx"))
 
 
-@query(f"WITH {PROBES}, sh AS (SELECT DISTINCT doc_pk AS whole, book, array_to_string(w[i:i + 11], ' ') AS probe FROM nw, range(1, 30000) t(i) WHERE i <= len(w) - 11), tot AS (SELECT doc_pk, count(*) AS probes FROM pr GROUP BY 1) SELECT pr.doc_pk AS part, whole, round(count(*) / any_value(probes), 9) AS share FROM pr JOIN sh USING (book, probe) JOIN tot USING (doc_pk) WHERE pr.doc_pk <> whole GROUP BY 1, 2")
+#: Every run of twelve words of a text, however long it is.
+SHINGLES = "sh AS (SELECT DISTINCT doc_pk AS whole, book, array_to_string(w[i:i + 11], ' ') AS probe FROM (SELECT doc_pk, book, w, unnest(range(1, len(w) - 10)) AS i FROM nw))"
+
+
+@query(f"WITH {PROBES}, {SHINGLES}, tot AS (SELECT doc_pk, count(*) AS probes FROM pr GROUP BY 1) SELECT pr.doc_pk AS part, whole, round(count(*) / any_value(probes), 9) AS share FROM pr JOIN sh USING (book, probe) JOIN tot USING (doc_pk) WHERE pr.doc_pk <> whole GROUP BY 1, 2")
 def containment_share(spark, sf_dir):
     docs = tables.documents(spark, sf_dir)
     books = docs.select("doc_pk", F.col("item_key").alias("book"))
@@ -756,7 +821,14 @@ def containment_share(spark, sf_dir):
     return prepare.containment(windows, docs.select("doc_pk", "text"), books).withColumn("share", F.round("share", 9))
 
 
-@query()
+@query(f"""WITH RECURSIVE {PROBES}, {SHINGLES}, tot AS (SELECT doc_pk, count(*) AS probes FROM pr GROUP BY 1),
+same AS (SELECT doc_id AS doc_pk, first_value(doc_id) OVER (PARTITION BY lang, source, md5(text) ORDER BY doc_id) AS first, lang || '-' || source AS book, len(regexp_extract_all(text, '\\S+')) AS words FROM documents),
+live AS (SELECT doc_pk, book, row_number() OVER (PARTITION BY book ORDER BY words DESC, doc_pk) AS place FROM same WHERE doc_pk = first),
+held AS (SELECT book, pr.doc_pk AS part, whole FROM pr JOIN sh USING (book, probe) JOIN tot USING (doc_pk) GROUP BY 1, 2, 3 HAVING count(*) / any_value(probes) >= 0.8),
+wholes AS (SELECT book, doc, parts, row_number() OVER (PARTITION BY book ORDER BY place) AS i FROM (SELECT w.book, w.doc_pk AS doc, w.place, list({{'part': part, 'whole': whole}} ORDER BY p.place) AS parts FROM held JOIN live w ON w.doc_pk = whole JOIN live p ON p.doc_pk = part WHERE p.place > w.place GROUP BY 1, 2, 3)),
+g AS (SELECT DISTINCT book, 0 AS i, []::STRUCT(part BIGINT, whole BIGINT)[] AS gone FROM wholes
+ UNION ALL SELECT g.book, g.i + 1, CASE WHEN list_contains(list_transform(gone, lambda x: x.part), doc) THEN gone ELSE list_concat(gone, list_filter(parts, lambda p: NOT list_contains(list_transform(gone, lambda x: x.part), p.part))) END FROM g JOIN wholes ON wholes.book = g.book AND wholes.i = g.i + 1)
+SELECT doc_pk, first AS duplicate_of FROM same WHERE doc_pk <> first UNION ALL SELECT x.part, x.whole FROM (SELECT unnest(arg_max(gone, i)) AS x FROM g GROUP BY book)""")
 def find_duplicates(spark, sf_dir):
     d = tables.documents(spark, sf_dir)
     lines = F.split("text", "\n").alias("windows")
