@@ -145,3 +145,11 @@ def natural_key(text: Column, pad: int = 12) -> Column:
     folded = F.lower(F.translate(text, "ÀÁÂÃÄÅàáâãäåÈÉÊËèéêëÌÍÎÏìíîïÒÓÔÕÖòóôõöÙÚÛÜùúûüÇçÑñ", "AAAAAAaaaaaaEEEEeeeeIIIIiiiiOOOOOoooooUUUUuuuuCcNn"))
     padded = F.regexp_replace(folded, r"(\d+)", "0" * pad + "$1")
     return F.regexp_replace(padded, rf"0*(\d{{{pad}}})(?!\d)", "$1")
+
+
+def size_text(size: Column) -> Column:
+    """A number of bytes for people: whole below 1024 bytes and from 10 of a unit on, else with one decimal."""
+    step = F.when(size < 1 << 10, 0).when(size < 1 << 20, 1).when(size < 1 << 30, 2).otherwise(3)
+    value = size / F.pow(F.lit(1024.0), step)
+    shown = F.when((step > 0) & (value < 10), F.format_string("%.1f", value)).otherwise(F.format_string("%.0f", value))
+    return F.when(size.isNull() | F.isnan(size.cast("double")), "–").otherwise(F.concat_ws(" ", shown, F.element_at(F.array(*map(F.lit, ("B", "KB", "MB", "GB"))), step + 1)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folio.functions import text as tx
+from folio.sources.tables import numbered
 
 BOOK = ["library_key", "item_key"]
 #: One glyph a state.
@@ -115,13 +116,9 @@ def queue(documents: DataFrame) -> DataFrame:
 
 
 def books_ahead(documents: DataFrame) -> DataFrame:
-    """(book, ahead): for each queued book the queued books before it. The list is one of books; ranks come from a
-    range partitioning's running counts in each library and a total a library."""
+    """(book, ahead): for each queued book the queued books before it, by running counts in a range partitioning."""
     queued = documents.where("status = 'queued'").select(*BOOK).distinct()
-    per = queued.groupBy("library_key").agg(F.count("*").alias("n"))
-    before = per.select("library_key", (F.sum("n").over(Window.orderBy("library_key")) - F.col("n")).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("library_key").orderBy("item_key")) - 1
-    return queued.withColumn("nth", nth).join(before, "library_key").select(*BOOK, (F.col("before") + F.col("nth")).alias("ahead"))
+    return numbered(queued, *BOOK, start=-1, name="ahead")
 
 
 def failed_list(documents: DataFrame, k: int = 100) -> DataFrame:

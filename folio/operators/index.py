@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 from folio.config import EngineConfig
 from folio.functions import text as tx
 from folio.operators import clean, prepare, ranking, scan
+from folio.operators.providers import EmbeddingError, retried
 from folio.sources.scratch import written
 from folio.sources.tables import numbered
 
@@ -48,25 +49,26 @@ def checked(vectors: np.ndarray, expected: int) -> np.ndarray:
     return v
 
 
-def retried(call: Callable[[], np.ndarray], retries: int = 3, wait: Callable[[float], None] | None = None) -> np.ndarray:
-    """Up to `retries` more attempts after connection errors and time-outs, 1 s, 2 s, 4 s apart; other errors at once."""
-    import time
-
-    for k in range(retries + 1):
-        try:
-            return call()
-        except (ConnectionError, TimeoutError):
-            if k == retries:
-                raise
-            (wait or time.sleep)(2.0**k)
-    raise AssertionError
-
-
-def embed(windows: DataFrame, make: Callable[[], Embedder], batch: int = 32) -> DataFrame:
-    """Adds embedding. The embedder is made once a task and gets `batch` texts at a time."""
+def embed(windows: DataFrame, make: Callable[[], Embedder], batch: int = 32, errors: bool = False) -> DataFrame:
+    """Adds embedding. The embedder is made once a task and gets `batch` texts at a time. Trouble with the service stops
+    the run. With errors, also adds error: a batch that fails otherwise is tried text by text, and a text that still fails
+    has a null vector and the reason, so that a broken document fails alone."""
     columns = windows.columns
     at = columns.index("embed_text")
-    schema = T.StructType([*windows.schema, T.StructField("embedding", T.ArrayType(T.FloatType()))])
+    schema = T.StructType([*windows.schema, T.StructField("embedding", T.ArrayType(T.FloatType())), *([T.StructField("error", T.StringType())] if errors else [])])
+
+    def unit(model: Embedder, texts: list[str]) -> list:
+        got = checked(retried(lambda: model(texts)), len(texts))
+        norm = np.linalg.norm(got, axis=1, keepdims=True)
+        return list((got / np.where(norm > 0, norm, 1)).astype(np.float32))
+
+    def alone(model: Embedder, text: str) -> tuple:
+        try:
+            return unit(model, [text])[0], None
+        except (ConnectionError, TimeoutError, EmbeddingError):
+            raise
+        except Exception as e:  # whatever the embedder makes of this text
+            return None, str(e)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
@@ -74,10 +76,16 @@ def embed(windows: DataFrame, make: Callable[[], Embedder], batch: int = 32) ->
             for i in range(0, b.num_rows, batch):
                 part = b.slice(i, batch)
                 texts = part.column(at).to_pylist()
-                got = checked(retried(lambda texts=texts: model(texts)), len(texts))
-                norm = np.linalg.norm(got, axis=1, keepdims=True)
-                unit = (got / np.where(norm > 0, norm, 1)).astype(np.float32)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(list(unit), pa.list_(pa.float32()))], [*columns, "embedding"])
+                try:
+                    vectors, failed = unit(model, texts), [None] * len(texts)
+                except (ConnectionError, TimeoutError, EmbeddingError):
+                    raise
+                except Exception:
+                    if not errors:
+                        raise
+                    vectors, failed = zip(*(alone(model, t) for t in texts), strict=True)
+                more = [pa.array(failed, pa.string())] if errors else []
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(vectors, pa.list_(pa.float32())), *more], schema.names)
 
     return windows.mapInArrow(run, schema)
 
@@ -97,13 +105,45 @@ def build(pages: DataFrame, titles: DataFrame, config: EngineConfig | None = Non
     return {"chunks": chunks, "terms": terms, "pages": pages_out, "outline": prepare.outlines(routed), "doc_vectors": scan.pack(chunks), "failed": prepare.without_text(pages)}
 
 
-def save(tables: dict[str, DataFrame], path: str) -> None:
+#: Parts of a saved table; a document's rows are in one of them.
+BUCKETS = 64
+
+
+def _bucket(df: DataFrame, buckets: int) -> DataFrame:
+    return df.withColumn("bucket", F.pmod(F.xxhash64("doc_pk"), F.lit(buckets)).cast("int"))
+
+
+def save(tables: dict[str, DataFrame], path: str, buckets: int = BUCKETS) -> None:
+    """Tables with doc_pk are partitioned by a bucket of it, so that a document can be replaced in its bucket; terms, which
+    have chunk_pk only, get it from the chunks."""
     for name, df in tables.items():
-        df.write.mode("overwrite").parquet(f"{path}/{name}")
+        if "doc_pk" not in df.columns and "chunk_pk" in df.columns:
+            df = df.join(tables["chunks"].select("chunk_pk", "doc_pk"), "chunk_pk")
+        out = _bucket(df, buckets).repartition("bucket").write.partitionBy("bucket") if "doc_pk" in df.columns else df.write
+        out.mode("overwrite").parquet(f"{path}/{name}")
 
 
 def load(spark: SparkSession, path: str, names: tuple[str, ...] = ("chunks", "terms", "pages", "outline", "doc_vectors")) -> dict[str, DataFrame]:
-    return {n: spark.read.parquet(f"{path}/{n}") for n in names}
+    return {n: spark.read.parquet(f"{path}/{n}").drop("bucket") for n in names}
+
+
+def replace_saved(spark: SparkSession, path: str, fresh: dict[str, DataFrame], keys: DataFrame, buckets: int = BUCKETS) -> None:
+    """Puts the fresh rows of the documents in keys (which may have none: they are deleted) in place of the saved ones. Only
+    the buckets of these documents are read and written, by a dynamic overwrite of partitions."""
+    gone = written(_bucket(keys.select("doc_pk").distinct(), buckets), "keys")
+    touched = [r.bucket for r in gone.select("bucket").distinct().collect()]  # BUCKETS at most
+    for name, df in fresh.items():
+        if "doc_pk" not in df.columns:
+            df = df.join(fresh["chunks"].select("chunk_pk", "doc_pk"), "chunk_pk")
+        stored = spark.read.parquet(f"{path}/{name}").where(F.col("bucket").isin(touched))
+        left = stored.join(gone.select("doc_pk"), "doc_pk", "left_anti").unionByName(_bucket(df, buckets).select(*stored.columns))
+        whole = written(left, name)
+        # a bucket that loses its last row has no partition to overwrite it with
+        empty = set(touched) - {r.bucket for r in whole.select("bucket").distinct().collect()}
+        whole.repartition("bucket").write.partitionBy("bucket").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{name}")
+        for b in empty:
+            target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}/bucket={b}")
+            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def replace(stored: DataFrame, fresh: DataFrame, key: str = "doc_pk") -> DataFrame:
@@ -138,6 +178,22 @@ def settle(documents: DataFrame, results: DataFrame) -> DataFrame:
     return documents.join(r, "doc_pk", "left").withColumn("error", F.when(fits, F.col("_error")).otherwise(F.col("error"))).withColumn("status", F.when(fits, F.col("_status")).when(F.col("_hash").isNotNull(), "queued").otherwise(F.col("status"))).select(*documents.columns)
 
 
+def outcomes(documents: DataFrame, results: DataFrame) -> DataFrame:
+    """results: doc_pk, content_hash, error, stopped. What becomes of documents that were worked on: ready, or failed with
+    their own error; those that a pause or trouble with the service stopped go back to the queue, without error."""
+    status = F.when(F.col("stopped"), "queued").when(F.col("error").isNotNull(), "failed").otherwise("ready")
+    own = F.when(~F.col("stopped"), F.col("error"))
+    return settle(documents, results.select("doc_pk", "content_hash", status.alias("status"), own.alias("error")))
+
+
+def decide_again(documents: DataFrame, changed: DataFrame) -> DataFrame:
+    """changed: books (library_key, item_key) of which a document is new, changed or gone. Their duplicates go back to the
+    queue: what they stand for may no longer hold."""
+    touched = changed.select("library_key", "item_key").distinct().withColumn("_changed", F.lit(True))
+    again = F.col("_changed").isNotNull() & (F.col("status") == "duplicate")
+    return documents.join(touched, ["library_key", "item_key"], "left").withColumn("status", F.when(again, "queued").otherwise(F.col("status"))).select(*documents.columns)
+
+
 def requeue(documents: DataFrame, keys: DataFrame) -> DataFrame:
     """Forgets the hashes of these documents, so that they are indexed again."""
     marked = keys.select("doc_pk").distinct().withColumn("_again", F.lit(True))

@@ -39,7 +39,7 @@ def query_terms(spark, query: str) -> list[str]:
 def bm25(postings: DataFrame, lengths: DataFrame, terms: list[str]) -> DataFrame:
     """(chunk_pk, score) of windows with at least one of the terms. Frequencies, totals and the mean are those of the
     scope that is passed in. The filter on the terms reaches the scan of a stored posting table."""
-    hits = postings.where(F.col("term").isin(terms)) if terms else postings.limit(0)
+    hits = postings.where(F.col("term").isin(terms)) if terms else postings.where("false")
     stats = scope_stats(lengths)  # one row
     per_term = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row a query term
     scored = hits.join(lengths, "chunk_pk").join(F.broadcast(per_term), "term").join(F.broadcast(stats))
@@ -68,7 +68,7 @@ def fuse(*ranked: DataFrame, k: int = RRF_K) -> DataFrame:
 
 
 def normalized(scores: DataFrame) -> DataFrame:
-    """Adds share: the score over the best of the scope; null if that is 0."""
+    """Adds share: the score over the best of the scope; null if that is 0. Reads the scores twice: pass a written table."""
     best = scores.agg(F.max("score").alias("best"))
     return scores.join(F.broadcast(best)).withColumn("share", F.when(F.col("best") > 0, F.col("score") / F.col("best"))).drop("best")
 

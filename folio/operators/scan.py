@@ -37,6 +37,8 @@ def rescored(vectors: DataFrame, candidates: DataFrame, query: list[float]) -> D
 
 
 def semantic(vectors: DataFrame, query: list[float], candidates: int = 200, min_similarity: float | None = None) -> DataFrame:
+    """Windows without a vector are not found."""
+    vectors = vectors.where(F.col("embedding").isNotNull())
     found = rescored(vectors, scan(quantized(vectors), query, candidates), query)
     return found if min_similarity is None else found.where(F.col("score") >= min_similarity)
 
@@ -104,3 +106,9 @@ def pack(quantized: DataFrame) -> DataFrame:
 def unpack(packed: DataFrame) -> DataFrame:
     one = F.posexplode("chunk_pks").alias("_i", "chunk_pk")
     return packed.select("*", one).select("doc_pk", "chunk_pk", F.col("scales")[F.col("_i")].alias("scale"), F.slice("matrix", F.col("_i") * F.col("dims") + 1, F.col("dims")).alias("q"))
+
+
+def backfilled(packed: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The packed blocks, and those of documents that have windows and no block yet (older indexes)."""
+    missing = chunks.join(packed.select("doc_pk"), "doc_pk", "left_anti")
+    return packed.unionByName(pack(missing).select(*packed.columns))

@@ -66,10 +66,10 @@ def pages(tables: dict[str, DataFrame], params: dict[str, str]) -> Answer:
             mine = docs.where(F.col("item_key") == item)
             if mine.first() is None:
                 raise RequestError(404, "this book is not indexed")
-            hits = catalog.with_label(tables["page_labels"], mine, label).orderBy("doc_pk", "page").limit(100).collect()
+            hits = catalog.with_label(tables["page_labels"], mine, label).orderBy("doc_pk", "page").collect()
             if not hits:
                 raise RequestError(404, f"no page of this book is labelled {label}")
-            keys = {r.doc_pk: r.attachment_key for r in mine.where(F.col("doc_pk").isin([h.doc_pk for h in hits])).collect()}
+            keys = {r.doc_pk: r.attachment_key for r in mine.where("status = 'ready'").collect()}  # of one book
             if len(hits) > 1:
                 raise RequestError(409, "several pages have this label", candidates=[{"attachment_key": keys[h.doc_pk], "page": h.page} for h in hits])
             doc = mine.where(F.col("doc_pk") == hits[0].doc_pk).first()
@@ -99,3 +99,9 @@ def find(tables: dict[str, DataFrame], params: dict[str, str], config: EngineCon
         return {"results": [r.asDict(recursive=True) for r in rows.orderBy("place").collect()]}
 
     return answered(run)
+
+
+def is_indexed(tables: dict[str, DataFrame], library_key: str, item_key: str) -> bool:
+    """Whether a book can be searched: one of its documents is ready."""
+    mine = tables["documents"].where((F.col("library_key") == library_key) & (F.col("item_key") == item_key))
+    return mine.where("status = 'ready'").first() is not None

@@ -246,7 +246,7 @@ def keyword_topk(spark, sf_dir):
 
 @query(with_("post", "len", "bm") + "SELECT chunk_pk, round(score / max(score) OVER (), 6) AS share FROM bm")
 def keyword_normalized(spark, sf_dir):
-    return ranking.normalized(_bm25(spark, sf_dir)).select("chunk_pk", r6("share").alias("share"))
+    return ranking.normalized(written(_bm25(spark, sf_dir), "keyword")).select("chunk_pk", r6("share").alias("share"))
 
 
 FUSED = "kr AS (SELECT chunk_pk, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_pk) AS rank FROM bm), sr AS (SELECT chunk_pk, row_number() OVER (ORDER BY round(score, 9) DESC, chunk_pk) AS rank FROM sem), fused AS (SELECT chunk_pk, sum(1.0 / (60 + rank)) AS score FROM (SELECT * FROM kr WHERE rank <= 200 UNION ALL SELECT * FROM sr WHERE rank <= 200) GROUP BY 1)"
@@ -254,7 +254,7 @@ FUSED = "kr AS (SELECT chunk_pk, row_number() OVER (ORDER BY round(score, 9) DES
 
 def _lists(spark, sf_dir):
     even = lambda df: df.withColumn("score", F.round("score", 9))
-    return even(scan.semantic(tables.vectors(spark, sf_dir), asked(spark, sf_dir))), even(_bm25(spark, sf_dir))
+    return written(even(scan.semantic(tables.vectors(spark, sf_dir), asked(spark, sf_dir))), "semantic"), written(even(_bm25(spark, sf_dir)), "keyword")
 
 
 @query(with_("post", "len", "bm", "unit", "quant", "ask", "cand", "sem") + ", " + FUSED + " SELECT chunk_pk, round(score, 8) AS score FROM fused")
@@ -294,31 +294,34 @@ def merge_islands(spark, sf_dir):
 
 
 def _catalogue(spark, sf_dir):
-    """Documents, their windows with vectors (document = vec_id), and terms: the hybrid scope."""
+    """Documents, their windows (with vectors where document = vec_id; all others are found by keyword), and terms: the
+    hybrid scope."""
     docs = tables.documents(spark, sf_dir).withColumn("model_id", F.lit("local:hashed-words"))
-    text = docs.select("doc_pk", "text").join(tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_pk"), "embedding"), "doc_pk")
-    base = text.select(F.col("doc_pk").alias("chunk_pk"), "doc_pk", F.lit(0).alias("idx"), F.lit(1).alias("page_start"), F.lit(2).alias("page_end"), F.lit("").alias("chapter"), "text", "embedding")
-    windows = base.join(ranking.lengths(base), "chunk_pk")
-    return docs, windows, ranking.postings(base)
+    text = docs.select("doc_pk", "text").join(tables.table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_pk"), "embedding"), "doc_pk", "left")
+    keyed = text.withColumn("_keys", tx.term_keys(F.col("text")))
+    base = keyed.select(F.col("doc_pk").alias("chunk_pk"), "doc_pk", F.lit(0).alias("idx"), F.lit(1).alias("page_start"), F.lit(2).alias("page_end"), F.lit("").alias("chapter"), "text", F.size("_keys").alias("nterms"), "embedding", "_keys")
+    windows = written(base, "windows")  # a stored index: keys are worked out once
+    terms = windows.select("chunk_pk", F.explode("_keys").alias("term")).groupBy("term", "chunk_pk").agg(F.count("*").cast("int").alias("tf"))
+    return docs, windows.drop("_keys"), terms
 
 
 SEARCH_SQL = (
     with_("docs")
-    + ", scoped AS (SELECT * FROM docs JOIN embeddings e ON e.vec_id = docs.doc_pk WHERE status = 'ready' AND library_key = 'user'),"
+    + ", scoped AS (SELECT * FROM docs LEFT JOIN embeddings e ON e.vec_id = docs.doc_pk WHERE status = 'ready' AND library_key = 'user'),"
     + " post AS (SELECT term, chunk_pk, count(*)::INT AS tf FROM (SELECT doc_pk AS chunk_pk, " + KEY.format("unnest(" + TOKENS.format("text") + ")") + " AS term FROM scoped) GROUP BY 1, 2),"
     + f" len AS (SELECT doc_pk AS chunk_pk, len({TOKENS.format('text')}) AS nterms FROM scoped), "
     + WITH["bm"] + ", " + WITH["unit"].replace("FROM embeddings", "FROM embeddings WHERE vec_id IN (SELECT doc_pk FROM scoped) OR vec_id = 7") + ", " + WITH["ask"]
     + ", " + WITH["quant"].replace("FROM unit", "FROM unit WHERE chunk_pk IN (SELECT doc_pk FROM scoped)") + ", " + WITH["cand"] + ", " + WITH["sem"] + ", " + FUSED
     + ", best AS (SELECT chunk_pk, score FROM fused ORDER BY score DESC, chunk_pk LIMIT 30)"
-    + " SELECT row_number() OVER (ORDER BY best.score DESC, doc_pk) AS place, item_key, round(best.score, 5) AS score, round(sem.score, 4) AS semantic_score, round(bm.score / (SELECT max(score) FROM bm), 4) AS keyword_score, CASE WHEN sem.score IS NOT NULL AND bm.score IS NOT NULL THEN 'both' WHEN sem.score IS NOT NULL THEN 'semantic' ELSE 'keyword' END AS source, attachment_key, text AS snippet FROM best JOIN scoped ON chunk_pk = doc_pk LEFT JOIN sem USING (chunk_pk) LEFT JOIN bm USING (chunk_pk) ORDER BY place LIMIT 10"
+    + " SELECT row_number() OVER (ORDER BY best.score DESC, doc_pk) AS place, item_key, round(best.score, 5) AS score, round(sem.score, 4) AS semantic_score, round(bm.score / (SELECT max(score) FROM bm), 4) AS keyword_score, CASE WHEN sem.score IS NOT NULL AND bm.score IS NOT NULL THEN 'both' WHEN sem.score IS NOT NULL THEN 'semantic' ELSE 'keyword' END AS source, attachment_key, text AS snippet, CASE doc_pk % 3 WHEN 0 THEN 'IX' WHEN 1 THEN 'ix' ELSE 'x' END AS page_label FROM best JOIN scoped ON chunk_pk = doc_pk LEFT JOIN sem USING (chunk_pk) LEFT JOIN bm USING (chunk_pk) ORDER BY place LIMIT 10"
 )
 
 
 @query(SEARCH_SQL)
 def search_results(spark, sf_dir):
     docs, windows, terms = _catalogue(spark, sf_dir)
-    found = plan.search(docs, windows, terms, QUERY, asked(spark, sf_dir), SearchOptions(top_k=10, library_key="user"), model_id="local:hashed-words")
-    return found.select(F.col("place").cast("long").alias("place"), "item_key", F.round("score", 5).alias("score"), F.round("semantic_score", 4).alias("semantic_score"), F.round("keyword_score", 4).alias("keyword_score"), "source", "matched_chunk.attachment_key", "matched_chunk.snippet")
+    found = plan.search(docs, windows, terms, QUERY, asked(spark, sf_dir), SearchOptions(top_k=10, library_key="user"), labels=_labels(spark, sf_dir), model_id="local:hashed-words")
+    return found.select(F.col("place").cast("long").alias("place"), "item_key", F.round("score", 5).alias("score"), F.round("semantic_score", 4).alias("semantic_score"), F.round("keyword_score", 4).alias("keyword_score"), "source", "matched_chunk.attachment_key", "matched_chunk.snippet", "matched_chunk.page_label")
 
 
 # ---- catalogue
@@ -373,11 +376,12 @@ def books_payload(spark, sf_dir):
     return catalog.books_payload(tables.documents(spark, sf_dir))
 
 
-@query(with_("docs") + f", {STATES} SELECT item_key, CASE WHEN {STATE_SQL} = 'ready' THEN ready || ' of ' || total || ' PDFs searchable' WHEN {STATE_SQL} = 'partial' THEN ready || ' of ' || total || ' PDFs searchable, others failed or waiting' WHEN {STATE_SQL} = 'queued' THEN 'waiting, 0 books ahead' WHEN {STATE_SQL} = 'failed' THEN 'indexing failed' ELSE 'not indexed' END AS line FROM st")
+@query(with_("docs") + f", {STATES} SELECT item_key, CASE WHEN {STATE_SQL} = 'ready' THEN ready || ' of ' || total || ' PDFs searchable' WHEN {STATE_SQL} = 'partial' THEN ready || ' of ' || total || ' PDFs searchable, others failed or waiting' WHEN {STATE_SQL} = 'queued' THEN 'waiting, ' || coalesce(ahead, 0) || ' books ahead' WHEN {STATE_SQL} = 'failed' THEN 'indexing failed' ELSE 'not indexed' END AS line FROM st LEFT JOIN (SELECT library_key, item_key, row_number() OVER (ORDER BY library_key, item_key) - 1 AS ahead FROM (SELECT DISTINCT library_key, item_key FROM docs WHERE status = 'queued')) USING (library_key, item_key)")
 def status_lines(spark, sf_dir):
     docs = tables.documents(spark, sf_dir)
     n = docs.groupBy(*catalog.BOOK).agg(catalog.count_if("ready").alias("ready"), F.count("*").alias("total"))
-    return catalog.book_state(docs).join(n, catalog.BOOK).select("item_key", catalog.status_text(F.col("state"), F.col("ready"), F.col("total"), F.lit(0)).alias("line"))
+    all_ = catalog.book_state(docs).join(n, catalog.BOOK).join(catalog.books_ahead(docs), catalog.BOOK, "left")
+    return all_.select("item_key", catalog.status_text(F.col("state"), F.col("ready"), F.col("total"), F.coalesce("ahead", F.lit(0))).alias("line"))
 
 
 @query(with_("docs") + "SELECT item_key, doc_pk FROM docs WHERE status = 'failed' ORDER BY item_key, doc_pk LIMIT 100")
@@ -444,6 +448,33 @@ def settle_results(spark, sf_dir):
     return index.settle(d, done).select("doc_pk", "status")
 
 
+@query(with_("docs") + "SELECT doc_pk, CASE WHEN doc_pk % 5 = 4 THEN status WHEN doc_pk % 5 = 3 THEN 'queued' WHEN doc_pk % 5 = 2 THEN 'queued' WHEN doc_pk % 5 = 1 THEN 'failed' ELSE 'ready' END AS status, CASE WHEN doc_pk % 5 = 1 THEN 'broken' END AS error FROM docs")
+def run_outcomes(spark, sf_dir):
+    d = tables.documents(spark, sf_dir).select("doc_pk", "content_hash", "status", F.lit(None).cast("string").alias("error"))
+    k = F.col("doc_pk") % 5
+    done = d.where(k < 4).select("doc_pk", F.when(k == 3, "stale").otherwise(F.col("content_hash")).alias("content_hash"), F.when(k == 1, "broken").when(k == 2, "no answer").alias("error"), (k == 2).alias("stopped"))
+    return index.outcomes(d, done).select("doc_pk", "status", "error")
+
+
+@query(with_("docs") + ", d AS (SELECT *, CASE WHEN doc_pk % 3 = 0 THEN 'duplicate' ELSE status END AS s FROM docs) SELECT doc_pk, CASE WHEN s = 'duplicate' AND (library_key, item_key) IN (SELECT (library_key, item_key) FROM d WHERE doc_pk % 97 = 1) THEN 'queued' ELSE s END AS status FROM d")
+def duplicates_again(spark, sf_dir):
+    d = tables.documents(spark, sf_dir).withColumn("status", F.when(F.col("doc_pk") % 3 == 0, "duplicate").otherwise(F.col("status")))
+    return index.decide_again(d, d.where("doc_pk % 97 = 1")).select("doc_pk", "status")
+
+
+@query(with_("unit", "quant") + "SELECT doc_pk, count(*)::INT AS n, len(any_value(q))::INT AS dims, string_agg(chunk_pk, ',' ORDER BY chunk_pk) AS chunk_pks FROM quant GROUP BY 1")
+def vectors_backfilled(spark, sf_dir):
+    q = scan.quantized(tables.vectors(spark, sf_dir))
+    packed = scan.pack(q.where("doc_pk % 3 = 0"))
+    return scan.backfilled(packed, q).select("doc_pk", "n", "dims", F.array_join(F.transform("chunk_pks", lambda x: x.cast("string")), ",").alias("chunk_pks"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN '–' ELSE CASE WHEN b < 1024 THEN format('{:.0f} B', b) WHEN b < 1048576 THEN CASE WHEN b / 1024 < 10 THEN format('{:.1f} KB', b / 1024) ELSE format('{:.0f} KB', b / 1024) END WHEN b < 1073741824 THEN CASE WHEN b / 1048576 < 10 THEN format('{:.1f} MB', b / 1048576) ELSE format('{:.0f} MB', b / 1048576) END WHEN b / 1073741824 < 10 THEN format('{:.1f} GB', b / 1073741824) ELSE format('{:.0f} GB', b / 1073741824) END END AS size FROM (SELECT doc_id, (n_chars * power(37, doc_id % 5))::DOUBLE AS b FROM documents)")
+def size_texts(spark, sf_dir):
+    size = F.when(F.col("doc_id") % 7 != 0, F.col("n_chars") * F.pow(F.lit(37.0), F.col("doc_id") % 5))
+    return tables.table(spark, sf_dir, "documents").select("doc_id", tx.size_text(size).alias("size"))
+
+
 @query(with_("docs") + "SELECT doc_pk, CASE WHEN doc_pk % 4 = 1 THEN 'queued' ELSE status END AS status FROM docs WHERE doc_pk % 4 <> 3 UNION ALL SELECT -1 - doc_pk, 'queued' FROM docs WHERE doc_pk % 4 = 2")
 def upsert_delete(spark, sf_dir):
     d = tables.documents(spark, sf_dir).select("doc_pk", "content_hash", "status")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from folio.functions.guards import SearchOptions
 from folio.operators import catalog, ranking, scan
+from folio.sources.scratch import written
 
 
 class ModelMismatch(ValueError):
@@ -26,12 +27,13 @@ def scored(windows: DataFrame, terms: DataFrame, query: str, vector: list[float]
     mode = options.mode
     lists, parts = [], {}
     if mode != "keyword":
-        parts["semantic"] = scan.semantic(windows, vector or [], min_similarity=options.min_similarity)
+        # each list is worked out once: written, it serves ranks and the scores that are shown
+        parts["semantic"] = written(scan.semantic(windows, vector or [], min_similarity=options.min_similarity), "semantic")
         lists.append(ranking.with_rank(parts["semantic"]))
     if mode != "semantic":
         keys = ranking.query_terms(spark, query)
         inside = terms.join(windows.select("chunk_pk"), "chunk_pk", "left_semi")
-        parts["keyword"] = ranking.normalized(ranking.bm25(inside, windows.select("chunk_pk", "nterms"), keys))
+        parts["keyword"] = ranking.normalized(written(ranking.bm25(inside, windows.select("chunk_pk", "nterms"), keys), "keyword"))
         lists.append(ranking.with_rank(parts["keyword"].select("chunk_pk", "score")))
     fused = ranking.fuse(*lists) if mode == "hybrid" else parts[mode].select("chunk_pk", "score")
     best = ranking.top(fused, 3 * max(1, min(100, options.top_k)))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -21,20 +22,44 @@ def affected(events: DataFrame, known: DataFrame | None = None, auto_index: bool
     return found if auto_index or known is None else found.join(known.select("item"), "item", "left_semi")
 
 
-def follow(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, delay: str = DELAY, once: bool = False) -> StreamingQuery:
+def follow(stream: DataFrame, handle: Callable[[DataFrame, int], None], checkpoint: str, delay: str = DELAY, once: bool = False, known: Callable[[], DataFrame] | None = None, auto_index: bool = True, listeners: Listeners | None = None) -> StreamingQuery:
     """Runs handle(affected items, batch number) for each micro-batch: events of one delay meet in one batch, those that
-    come meanwhile wait for the next. The checkpoint makes a restart go on where it stopped."""
+    come meanwhile wait for the next. known: gives the items (item) that are in the catalogue at the time; others count
+    with auto_index only. The checkpoint makes a restart go on where it stopped."""
 
     def batch(events: DataFrame, number: int) -> None:
-        handle(affected(events), number)
+        handle(affected(events, known() if known else None, auto_index), number)
+        if listeners:
+            listeners.emit(number)
 
     writer = stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=delay)).start()
 
 
-def passes(step: Callable[[], int], most: int = 1000) -> int:
+class Listeners:
+    """Who wants to know of progress. One that fails does not keep the others from hearing of it."""
+
+    def __init__(self):
+        self._all: dict[int, Callable[[int], None]] = {}
+        self._next = 0
+
+    def on_change(self, listen: Callable[[int], None]) -> Callable[[], None]:
+        """Returns what takes the listener off again."""
+        key, self._next = self._next, self._next + 1
+        self._all[key] = listen
+        return lambda: self._all.pop(key, None) and None
+
+    def emit(self, number: int) -> None:
+        for listen in list(self._all.values()):
+            try:
+                listen(number)
+            except Exception:
+                logging.getLogger(__name__).exception("a listener failed")
+
+
+def passes(step: Callable[[], int]) -> int:
     """Calls step() (which returns how many documents it settled) until one pass settles none; how many passes ran."""
-    for n in range(1, most + 1):
-        if not step():
-            return n
-    return most
+    n = 1
+    while step():
+        n += 1
+    return n

@@ -137,3 +137,121 @@ def test_answers(spark):
     assert status == 200 and got["results"][0]["matched_chunk"]["snippet"] == "solar energy"
     assert api.find(t, {"q": "solar"}, c)[0] == 503 and api.find(t, {}, c)[0] == 400
     assert api.find(t, {"q": "solar"}, c, lambda q: [1.0, 0.0])[1]["results"][0]["source"] == "both"
+
+
+def test_services():
+    from folio.operators import providers
+
+    url, headers, body = providers.request("openai", "http://host/v1/", "m", ["a"], "k", "u")
+    assert url == "http://host/v1/embeddings" and headers["Authorization"] == "Bearer k" and b'"user": "u"' in body
+    url, headers, body = providers.request("native", "http://host", "m", ["a"], user="u")
+    assert url == "http://host/api/embed" and "Authorization" not in headers and b"truncate" in body and b"user" not in body
+    assert providers.vectors_of({"data": [{"index": 1, "embedding": [2, 0]}, {"index": 0, "embedding": [1.5, 0]}]}, 2).tolist() == [[1.5, 0], [2, 0]]
+    for bad in ({"embeddings": [[1], [1, 2]]}, {"embeddings": [[1]]}, {"embeddings": [["x"], [1]]}, {"embeddings": [[], []]}, {"embeddings": [[float("nan")], [1]]}, None, []):
+        with pytest.raises(providers.EmbeddingError) as e:
+            providers.vectors_of(bad, 2)
+        assert not e.value.retryable
+    calls = []
+
+    def send(*a):
+        calls.append(a)
+        if len(calls) < 3:
+            raise providers.EmbeddingError("status 503", True)
+        return {"embeddings": [[1.0]]}
+
+    ask = providers.remote("native", "http://host", "m", send=send)
+    assert providers.retried(lambda: ask(["t"]), wait=lambda s: None).tolist() == [[1.0]] and len(calls) == 3
+    with pytest.raises(providers.EmbeddingError):
+        providers.retried(lambda: (_ for _ in ()).throw(providers.EmbeddingError("status 401")), wait=lambda s: pytest.fail("no retry"))
+
+
+def test_answers_of_a_service():
+    """Over a socket: which statuses are worth another attempt."""
+    import http.server
+    import threading
+
+    from folio.operators import providers
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            status = int(self.path.strip("/"))
+            self.send_response(status)
+            self.end_headers()
+            self.wfile.write(b"{}" if status == 200 else b"no")
+
+        def log_message(self, *a):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        assert providers.post(f"{base}/200", {}, b"") == {}
+        for status, again in ((500, True), (503, True), (408, True), (429, True), (400, False), (404, False)):
+            with pytest.raises(providers.EmbeddingError) as e:
+                providers.post(f"{base}/{status}", {}, b"")
+            assert e.value.retryable == again
+    finally:
+        server.shutdown()
+    with pytest.raises(providers.EmbeddingError) as e:
+        providers.post("http://127.0.0.1:9", {}, b"", timeout=2)
+    assert e.value.retryable
+
+
+def test_one_broken_text_fails_alone(spark):
+    import numpy as np
+
+    def make():
+        def embed(texts):
+            if any("broken" in t for t in texts):
+                raise ValueError("can't read this")
+            return np.ones((len(texts), 2))
+
+        return embed
+
+    df = spark.createDataFrame([(i, "broken" if i == 3 else "fine") for i in range(6)], "doc_pk long, embed_text string")
+    got = {r.doc_pk: (r.embedding is None, r.error) for r in index.embed(df, make, errors=True).collect()}
+    assert got == {i: (i == 3, "can't read this" if i == 3 else None) for i in range(6)}
+    with pytest.raises(Exception, match="can't read this"):
+        index.embed(df, make).collect()
+
+
+def test_documents_are_replaced_in_their_buckets(spark, tmp_path):
+    import os
+
+    chunks = spark.createDataFrame([(10 * d + k, d, k, f"t{d}") for d in range(40) for k in range(2)], "chunk_pk long, doc_pk long, idx int, text string")
+    terms = chunks.selectExpr("text AS term", "chunk_pk", "1 AS tf")
+    path = str(tmp_path / "ix")
+    index.save({"chunks": chunks, "terms": terms}, path)
+    before = {f: os.stat(os.path.join(d, f)).st_mtime_ns for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    fresh = spark.createDataFrame([(999, 5, 0, "new")], "chunk_pk long, doc_pk long, idx int, text string")
+    keys = spark.createDataFrame([(5,), (7,)], "doc_pk long")
+    index.replace_saved(spark, path, {"chunks": fresh, "terms": fresh.selectExpr("text AS term", "chunk_pk", "1 AS tf")}, keys)
+    got = index.load(spark, path, ("chunks", "terms"))
+    want = {(10 * d + k, d, f"t{d}") for d in range(40) if d not in (5, 7) for k in range(2)} | {(999, 5, "new")}
+    assert {(r.chunk_pk, r.doc_pk, r.text) for r in got["chunks"].collect()} == want
+    assert {(r.term, r.chunk_pk) for r in got["terms"].collect()} == {(t, c) for c, _, t in want}
+    after = {f for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    assert len(set(before) & after) >= len(before) - 4  # two buckets of each table
+
+
+def test_known_items_and_listeners(spark, tmp_path):
+    t0 = dt.datetime(2024, 1, 1)
+    spark.createDataFrame([(1, t0, 7, "modify", None), (2, t0, 8, "add", None)], changes.EVENTS).write.parquet(str(tmp_path / "ev"))
+    seen, heard = [], []
+    listeners = changes.Listeners()
+    listeners.on_change(lambda n: 1 / 0)
+    listeners.on_change(heard.append)
+    off = listeners.on_change(lambda n: heard.append("off"))
+    off()
+    known = spark.createDataFrame([(7,)], "item long")
+    q = changes.follow(spark.readStream.schema(changes.EVENTS).parquet(str(tmp_path / "ev")), lambda df, n: seen.extend(map(tuple, df.collect())), str(tmp_path / "cp"), once=True, known=lambda: known, auto_index=False, listeners=listeners)
+    q.awaitTermination(60)
+    assert seen == [(7, False)] and heard == [0]
+
+
+def test_is_indexed(spark):
+    from folio.plans import api
+
+    docs = spark.createDataFrame([("user", "k1", "ready"), ("user", "k2", "queued")], "library_key string, item_key string, status string")
+    assert api.is_indexed({"documents": docs}, "user", "k1") and not api.is_indexed({"documents": docs}, "user", "k2") and not api.is_indexed({"documents": docs}, "group:1", "k1")
