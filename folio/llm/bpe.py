@@ -15,12 +15,13 @@ from __future__ import annotations
 import base64
 import hashlib
 import struct
-from functools import lru_cache
 from itertools import batched, chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from folio.llm.common import built, shipped
+
 CACHE_ENTRIES = 1 << 18
 PORTION = 1 << 16
 
@@ -62,10 +63,14 @@ def serialise(entries: list[bytes]) -> bytes:
     return b"".join(pieces) + unknown + _block(2, trainer) + _block(3, normaliser)
 
 
+def ranks_of(data: bytes) -> dict[bytes, int]:
+    """A vocabulary of lines "base64 rank"."""
+    return {base64.b64decode(a): int(b) for a, b in map(bytes.split, data.splitlines()) if a}
+
+
 def load_ranks(path: str) -> dict[bytes, int]:
-    """A vocabulary file of lines "base64 rank"."""
     with open(path, "rb") as f:
-        return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        return ranks_of(f.read())
 
 
 class Codec:
@@ -120,17 +125,13 @@ class Codec:
         return ",".join(map(self.digits.__getitem__, ids))
 
 
-@lru_cache(maxsize=2)
-def codec(path: str, pattern: str) -> Codec:
-    """One a Python worker; the workers read the vocabulary file themselves."""
-    return Codec(load_ranks(path), pattern)
-
-
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_tokens and ids array<int>."""
 
+    sent = shipped(docs.sparkSession, path)
+
     def run(batches):
-        c = codec(path, pattern)
+        c = built(sent, lambda data: Codec(ranks_of(data), pattern))
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
@@ -144,8 +145,10 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
 def decode(tokens: DataFrame, path: str, pattern: str, id_col: str = "doc_id") -> DataFrame:
     """Per row of encode(): the id and the bytes; null ids give no bytes."""
 
+    sent = shipped(tokens.sparkSession, path)
+
     def run(batches):
-        c = codec(path, pattern)
+        c = built(sent, lambda data: Codec(ranks_of(data), pattern))
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([c.decode(x or ()) for x in b.column(1).to_pylist()], pa.binary())], [id_col, "decoded"])
 
@@ -157,8 +160,10 @@ def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
     """encode() and decode() in one pass, as digests: n_tokens, ids_sha256 of the decimal ids joined by commas,
     decoded_sha256 of the bytes decoded from these ids. The ids themselves never leave the worker."""
 
+    sent = shipped(docs.sparkSession, path)
+
     def run(batches):
-        c = codec(path, pattern)
+        c = built(sent, lambda data: Codec(ranks_of(data), pattern))
         sha = lambda x: hashlib.sha256(x).hexdigest()
         for b in batches:
             rows = []

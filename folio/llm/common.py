@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import zlib
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folio.sources.scratch import dropped, shared_dir, written
 from folio.sources.tables import table
 
-__all__ = ["HEAVY", "WHITE", "built", "dropped", "fold", "fold_of", "met", "row_hash", "shared_dir", "table", "words_of", "written"]
+__all__ = ["HEAVY", "WHITE", "built", "dropped", "fold", "fold_of", "met", "row_hash", "shared_dir", "shipped", "table", "words_of", "written"]
 
 WHITE = " \t\n\v\f\r"
 #: A key is heavy if it has at least this part of all rows; so there are at most as many heavy keys.
@@ -50,6 +50,12 @@ def met(rows: DataFrame, table: DataFrame, on: list[str], count: str, total: int
     return rows.join(hot, on).unionByName(light.join(rest, on))
 
 
+def shipped(spark: SparkSession, path: str):
+    """A small file of the driver's (a vocabulary) as a broadcast of its bytes: workers need not have it."""
+    with open(path, "rb") as f:
+        return spark.sparkContext.broadcast(f.read())
+
+
 _built: dict[int, tuple] = {}
 
 

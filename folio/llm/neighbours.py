@@ -283,3 +283,17 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.9, id_col: str = "v
     linked = each.select(F.col("id").alias(id_col), F.col("n_links").cast("long").alias("n_links"), "component_id", kept)
     alone = rows.where("NOT ok").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
     return linked.unionByName(alone)
+
+
+#: The same rows in DuckDB SQL, by comparing all pairs: for small tables, where no link is lost.
+LINKS_SQL = """
+WITH RECURSIVE v AS (SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings),
+ok AS (
+  SELECT rid, vec_id, e FROM v
+  WHERE len(e) > 0 AND list_bool_and(list_transform(e, lambda x: coalesce(isfinite(x), false))) AND list_bool_or(list_transform(e, lambda x: coalesce(x <> 0, false)))),
+l AS (SELECT a.rid AS a, b.rid AS b FROM ok a JOIN ok b ON len(a.e) = len(b.e) AND a.rid <> b.rid AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT rid, rid AS reached FROM v UNION SELECT r.rid, l.b FROM r JOIN l ON l.a = r.reached),
+n AS (SELECT a AS rid, count(*) AS n FROM l GROUP BY 1),
+c AS (SELECT r.rid, min(v.vec_id) AS component_id FROM r JOIN v ON v.rid = r.reached GROUP BY 1)
+SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, component_id, coalesce(vec_id = component_id, false) AS kept FROM v JOIN c USING (rid) LEFT JOIN n USING (rid)
+"""

@@ -17,12 +17,13 @@ import base64
 import hashlib
 import math
 import re
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.llm.common import built, shipped
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
@@ -53,14 +54,11 @@ def neighbours() -> dict[str, str]:
 NEAR = neighbours()
 
 
-@lru_cache(maxsize=4)
-def dictionary(path: str | None = None) -> dict[str, int]:
-    """Words by rank: the common choices, then (given a vocabulary file) its alphabetic entries of 3 letters and more."""
+def dictionary(data: bytes = b"") -> dict[str, int]:
+    """Words by rank: the common choices, then (given a vocabulary) its alphabetic entries of 3 letters and more."""
     words = list(COMMON)
-    if path:
-        with open(path, "rb") as f:
-            entries = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, f))
-        words += [w.decode().lower() for _, e in entries if (w := e.strip()).isalpha() and len(w) > 2 and w.isascii()]
+    entries = sorted((int(b), base64.b64decode(a)) for a, b in map(bytes.split, data.splitlines()))
+    words += [w.decode().lower() for _, e in entries if (w := e.strip()).isalpha() and len(w) > 2 and w.isascii()]
     ranks: dict[str, int] = {}
     for w in words:
         ranks.setdefault(w, len(ranks) + 1)
@@ -209,8 +207,10 @@ def listed(found: list[tuple[int, int, int]]) -> str:
 def scan(docs: DataFrame, words_path: str | None = None, least: float = MIN_GUESSES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_assign, n_access, n_hex and n_guess, base_sha256 and spans."""
 
+    sent = shipped(docs.sparkSession, words_path) if words_path else docs.sparkSession.sparkContext.broadcast(b"")
+
     def run(batches):
-        ranks = dictionary(words_path)
+        ranks = built(sent, dictionary)
         for b in batches:
             rows = []
             for x in b.column(1):
@@ -237,8 +237,10 @@ def redact(docs: DataFrame, words_path: str | None = None, least: float = MIN_GU
     """All rows and columns; in the text, every span (overlapping ones together) gives way to the mark."""
     at = docs.columns.index(text_col)
 
+    sent = shipped(docs.sparkSession, words_path) if words_path else docs.sparkSession.sparkContext.broadcast(b"")
+
     def run(batches):
-        ranks = dictionary(words_path)
+        ranks = built(sent, dictionary)
         for b in batches:
             texts = []
             for x in b.column(at):

@@ -17,22 +17,21 @@ makes every word unknown.
 from __future__ import annotations
 
 from collections import Counter
-from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from folio.llm.common import words_of
+from folio.llm.common import built, shipped, words_of
 
 MARK = "▁"
 CACHE_ENTRIES = 1 << 18
 
 
-def entries_of(path: str) -> list[str]:
-    """The ordinary pieces of a sentencepiece model file: no control, unknown or byte pieces."""
+def entries_of(data: bytes) -> list[str]:
+    """The ordinary pieces of a sentencepiece model: no control, unknown or byte pieces."""
     import sentencepiece
 
-    m = sentencepiece.SentencePieceProcessor(model_file=path)
+    m = sentencepiece.SentencePieceProcessor(model_proto=data)
     return [m.id_to_piece(i) for i in range(m.get_piece_size()) if not (m.is_control(i) or m.is_unknown(i) or m.is_byte(i) or m.is_unused(i))]
 
 
@@ -107,17 +106,13 @@ class Automaton:
         return n_words, n_tokens, n_unknown
 
 
-@lru_cache(maxsize=2)
-def automaton(path: str) -> Automaton:
-    """One a Python worker; the workers read the vocabulary file themselves."""
-    return Automaton(entries_of(path))
-
-
 def counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: the id, n_words, n_tokens and n_unknown."""
 
+    sent = shipped(docs.sparkSession, path)
+
     def run(batches):
-        a = automaton(path)
+        a = built(sent, lambda data: Automaton(entries_of(data)))
         for b in batches:
             rows = [a.count(x.as_py()) for x in b.column(1)]
             cols = list(zip(*rows, strict=True)) if rows else [()] * 3

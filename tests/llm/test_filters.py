@@ -4,6 +4,7 @@ import math
 import random
 import re
 import time
+from pathlib import Path
 
 import pytest
 
@@ -101,7 +102,7 @@ def test_values_that_reach_past_base_spans(spark):
 
 
 def test_guess_costs():
-    ranks = secrets.dictionary(vocabulary("byte_bpe_50k.tiktoken")[0])
+    ranks = secrets.dictionary(Path(vocabulary("byte_bpe_50k.tiktoken")[0]).read_bytes())
     cost = lambda x: secrets.log_guesses(x, ranks)
     for weak, strong in (("password1", "pqszwxrd1"), ("qwertyuiop", "qpeortuwiy"), ("aaaaaaaaaa", "ahqzmwapxk"), ("12/03/1999", "87#93!6529"), ("abcabcabc", "abcqxzkwm")):
         assert cost(weak) < cost(strong)

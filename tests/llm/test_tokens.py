@@ -1,23 +1,25 @@
 import hashlib
 import random
+from pathlib import Path
 
 import pytest
 
 from folio.llm import bpe, tokencount
 from folio.llm.queries import vocabulary
 
-tiktoken = pytest.importorskip("tiktoken")
 SCHEMA = "doc_id long, text string, n_tokens string, ids string"
 TEXTS = [None, "", " ", "Hello world, it's 2024!", "don't  \n\n x\t", "日本語 émigré 😀😀", "a" * 5000, "<|endoftext|> ⁇ \x00\x1c\x85", "word " * 4000, "Hello world, it's 2024!"]
 
 
 @pytest.fixture(scope="module")
 def codec():
-    return bpe.codec(*vocabulary())
+    path, pattern = vocabulary()
+    return bpe.Codec(bpe.load_ranks(path), pattern)
 
 
 @pytest.fixture(scope="module")
 def reference():
+    tiktoken = pytest.importorskip("tiktoken")
     path, pattern = vocabulary()
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.load_ranks(path), special_tokens={})
 
@@ -95,9 +97,14 @@ def test_automaton_counts_greedy_pieces():
 
 def test_counts(spark):
     path = vocabulary("piece_bpe_32k.model")[0]
-    a, entries = tokencount.automaton(path), set(tokencount.entries_of(path))
+    pieces = tokencount.entries_of(Path(path).read_bytes())
+    a, entries = tokencount.Automaton(pieces), set(pieces)
     got = {r.doc_id: (r.n_words, r.n_tokens, r.n_unknown) for r in tokencount.counts(frame(spark), path).collect()}
     for i, t in enumerate(TEXTS):
         words = [w.decode() for w in (t or "").encode().split()]
         n = [slow(w, entries) if len(w) < 200 else a.pieces(w) for w in words]
         assert got[i] == (len(words), sum(1 if x is None else x for x in n), sum(x is None for x in n))
+    assert tokencount.counts(frame(spark).limit(0), path).count() == 0
+    odd = spark.createDataFrame([(None, "a b"), (None, "a b"), (7, "x " * 200_000)], "doc_id long, text string")
+    got = sorted((r.doc_id is None, r.n_words) for r in tokencount.counts(odd, path).collect())
+    assert got == [(False, 200_000), (True, 2), (True, 2)]
