@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import pandas as pd
@@ -872,7 +873,17 @@ def event_items(spark, sf_dir):
     return changes.affected(e)
 
 
-@query()
+#: CRC-32 of a text, byte by byte; what the stand-in embedding model hashes words with.
+CRC_SQL = "xor(list_reduce(list_transform(range(1, octet_length(encode({w})) + 1), lambda i: ('0x' || substr(hex(encode({w})), 2 * i - 1, 2))::BIGINT), lambda a, b: list_reduce(range(0, 8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, b)), 4294967295), 4294967295)"
+
+
+@query(
+    "WITH RECURSIVE " + WITH["turns"] + f", {strip_sql('turns')}, {ROUTED}, {CUT}, win AS (SELECT doc_pk, idx, p[x + 1]::INT AS page_start, p[y]::INT AS page_end, array_to_string(w[x + 1:y], ' ') AS text FROM cut JOIN ls USING (doc_pk)),"
+    + r" word AS (SELECT doc_pk, idx, unnest(regexp_extract_all(lower('Conversation ' || doc_pk || chr(10) || text), '[\p{L}\p{N}]{4,}')) AS w FROM win),"
+    + f" dim AS (SELECT w, {CRC_SQL.format(w='w')} % 64 AS d FROM (SELECT DISTINCT w FROM word)), part AS (SELECT doc_pk, idx, d, sum(n) AS n FROM (SELECT doc_pk, idx, d, 1.0::DOUBLE AS n FROM word JOIN dim USING (w) UNION ALL SELECT doc_pk, idx, {zlib.crc32(b'hashed-words') % 64}, 0.5::DOUBLE FROM win) GROUP BY 1, 2, 3),"
+    + " vec AS (SELECT doc_pk, idx, max(n) / sqrt(sum(n * n)) / 127 AS scale FROM part GROUP BY 1, 2)"
+    + f" SELECT row_number() OVER (ORDER BY doc_pk, idx) AS chunk_pk, doc_pk, idx::INT AS idx, page_start, page_end, '' AS chapter, len({TOKENS.format('text')})::INT AS nterms, 64 AS dims, round(scale, 6) AS scale FROM win JOIN vec USING (doc_pk, idx)"
+)
 def build_index(spark, sf_dir):
     pages = tables.conversation_pages(spark, sf_dir)
     titles = pages.select("doc_pk").distinct().withColumn("title", F.concat(F.lit("Conversation "), "doc_pk"))

@@ -10,7 +10,7 @@ import pytest
 
 DATA = "/root/testdata/sf0.001"
 NAMES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-CHECKED = ["keyword_topk", "search_results", "vector_quantize", "merge_passages", "book_states", "page_at_offset", "containment_share", "header_candidates", "sync_diff", "word_windows_nosnap", "reading_order", "batch_topk"]
+CHECKED = ["keyword_topk", "search_results", "vector_quantize", "merge_passages", "book_states", "page_at_offset", "containment_share", "header_candidates", "sync_diff", "word_windows_nosnap", "reading_order", "batch_topk", "toc_entries", "detect_headings", "find_headings", "strip_running_lines", "clean_pages", "prepare_windows", "document_outlines", "find_duplicates", "build_index", "duplicates_again", "run_outcomes", "size_texts", "status_lines"]
 
 
 def plain(v):
