@@ -243,7 +243,7 @@ def _mixed(units: DataFrame, weights: tuple[float, ...], cap: float, block: int,
     """units: written rows (id, tag, key, size, copies), each kind once. Returns these in parts, with source_size, target
     and times, and the number of all copies."""
     schema = _SCHEMA.format(kind=units.schema["id"].dataType.simpleString())
-    plan = written(sources(units, weights, cap, block), "plan")
+    plan = sources(units, weights, cap, block)  # a projection of a written table
     total, most = plan.agg(F.coalesce(F.sum("docs"), F.lit(0)), F.coalesce(F.max("blocks"), F.lit(1))).first()
     order = F.xxhash64("id", "tag", "size")
     rows = _blocks(units, plan, total, block)
