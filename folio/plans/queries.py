@@ -862,9 +862,9 @@ g AS (SELECT DISTINCT book, 0 AS i, []::STRUCT(part BIGINT, whole BIGINT)[] AS g
  UNION ALL SELECT g.book, g.i + 1, CASE WHEN list_contains(list_transform(gone, lambda x: x.part), doc) THEN gone ELSE list_concat(gone, list_filter(parts, lambda p: NOT list_contains(list_transform(gone, lambda x: x.part), p.part))) END FROM g JOIN wholes ON wholes.book = g.book AND wholes.i = g.i + 1)
 SELECT doc_pk, first AS duplicate_of FROM same WHERE doc_pk <> first UNION ALL SELECT x.part, x.whole FROM (SELECT unnest(arg_max(gone, i)) AS x FROM g GROUP BY book)""")
 def find_duplicates(spark, sf_dir):
-    d = tables.documents(spark, sf_dir)
+    d = tables.table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "doc_pk")
     lines = F.split("text", "\n").alias("windows")
-    return prepare.duplicates(d.select(F.col("item_key").alias("book"), "doc_pk", "content_hash", F.col("doc_pk").cast("int").alias("sort_order"), lines, "text"))
+    return prepare.duplicates(d.select(F.concat_ws("-", "lang", "source").alias("book"), "doc_pk", F.md5("text").alias("content_hash"), F.col("doc_pk").alias("sort_order"), lines, "text"))
 
 
 @query("SELECT item, max(CASE WHEN kind = 'delete' THEN 1 ELSE 0 END) = 1 AS deleted FROM (SELECT user_id AS item, CASE WHEN event_type = 'error' THEN 'delete' ELSE 'modify' END AS kind FROM events) GROUP BY 1")
